@@ -74,7 +74,7 @@ def compiled(selector: str) -> str:
         'paths', transform(
             {_all(f"regexp_replace(_g, {quote(rf'/@{_NAME}$')}, '')", _PATH)},
             _r -> transform({_all("_r", _STEP)}, _q -> {step})),
-        'nth', if(startswith(_g, '('), cast({_found("_g", r"\)\s*\[\s*(\d+)\s*\](?:/@[^\]]*)?$")} as int)),
+        'nth', if(startswith(_g, '('), cast({_found("_g", r"\)\s*\[\s*(\d+)\s*\](?:/@[^\]]*)?$")} as int), null),
         'attr', nullif({_found("_g", rf"/@({_NAME})$")}, ''))"""
     return f"case when {is_valid(selector)} then transform({_all(selector, _GROUP)}, _g -> {group}) end"
 
