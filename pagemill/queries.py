@@ -268,7 +268,6 @@ def _(spark, sf):
     return profiles.profile_effective(customer_profiles(spark, sf)).select(
         "profile_key", "source_url", "start_page", "max_pages", "posts_per_batch",
         F.array_join("remove_lines", ";").alias("remove_lines"),
-        F.coalesce(F.expr("size(title_selector)"), F.lit(0)).alias("title_steps") if False else
         F.when(F.col("title_selector").isNull(), 0).otherwise(F.size("title_selector")).alias("title_steps"),
     )
 
@@ -354,10 +353,10 @@ def _(spark, sf):
     changes = p.select("profile_key", F.col("c_custkey").alias("seq"), op.alias("op")).where(F.col("op").isNotNull()).join(
         body, "profile_key"
     )
-    purge = changes.limit(1).select(
-        F.lit("").alias("profile_key"), F.lit(0).cast("bigint").alias("seq"), F.lit("purge").alias("op"), "profile"
+    purge = spark.createDataFrame([("", 0, "purge")], "profile_key string, seq bigint, op string")
+    result = profiles.apply_profile_changes(
+        p, changes.unionByName(purge, allowMissingColumns=True), F.lit(1705719600)
     )
-    result = profiles.apply_profile_changes(p, changes.unionByName(purge), F.lit(1705719600))
     return result.select("profile_key", "profile_name")
 
 
@@ -378,3 +377,326 @@ def _(spark, sf):
     return part.select("p_partkey", rule.alias("r")).select(
         "p_partkey", "r.kind", "r.selector", F.col("r.open").alias("open_markup"), F.col("r.close").alias("close_markup")
     )
+
+
+# ---- discovery -----------------------------------------------------------------
+
+
+@query("page_sequence", f"""WITH {CP}, c AS (SELECT profile_key, rtrim(source_url, '/') AS s, coalesce(page_param, 'page') AS param,
+        greatest(1, coalesce(start_page, '1')::INT) AS a, greatest(1, max_pages::INT) AS n FROM cp)
+    SELECT profile_key, page_no::INT AS page_no, CASE WHEN page_no = 1 THEN s
+        WHEN param LIKE '%/%' THEN s || replace(param, '{{page}}', page_no::VARCHAR)
+        ELSE s || '?' || param || '=' || page_no::VARCHAR END AS page_url
+    FROM (SELECT *, unnest(range(a, a + n)) AS page_no FROM c)""")
+def _(spark, sf):
+    return discovery.page_sequence(profiles.profile_effective(customer_profiles(spark, sf))).select(
+        "profile_key", "page_no", "page_url"
+    )
+
+
+@query("normalize_url", f"SELECT page_id, {NORM} AS norm_url FROM (SELECT page_id, '  ' || upper(url) || '// ' AS url FROM pages)")
+def _(spark, sf):
+    shouted = F.concat(F.lit("  "), F.upper("url"), F.lit("// "))
+    return table(spark, sf, "pages").select("page_id", U.normalize_url(shouted).alias("norm_url"))
+
+
+def nav_links_df(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page read as a listing page of its host: ``profile_key`` is the host,
+    ``page_no`` the page id, ``links`` what the navigation names."""
+    docs = page_docs(spark, sf).withColumn("source_url", F.col("url"))
+    found = discovery.page_links(docs.withColumn("listing_selector", F.expr(sel("//nav//a"))))
+    return found.select(F.col("host").alias("profile_key"), F.col("page_id").alias("page_no"), "links")
+
+
+NAV = rf"""raw AS (SELECT {HOST} AS profile_key, page_id AS page_no, regexp_extract(url, '^[a-z]+://[^/]+') AS root,
+        regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hrefs FROM pages),
+    seen AS (SELECT profile_key, page_no, root, unnest(hrefs) AS href, unnest(range(len(hrefs))) AS i FROM raw),
+    kept AS (SELECT profile_key, page_no, root || {decoded("href")} AS url, min(i) AS i FROM seen GROUP BY ALL),
+    links AS (SELECT profile_key, page_no, url, (row_number() OVER (PARTITION BY profile_key, page_no ORDER BY i) - 1)::INT AS link_pos FROM kept)"""
+
+
+@query("listing_links", f"WITH {NAV} SELECT profile_key, page_no, link_pos, url FROM links")
+def _(spark, sf):
+    return discovery.exploded_links(nav_links_df(spark, sf)).select("profile_key", "page_no", "link_pos", "url")
+
+
+@query("ordered_distinct_links", f"""WITH {NAV} SELECT profile_key, url, page_no, link_pos FROM links
+    QUALIFY row_number() OVER (PARTITION BY profile_key, url ORDER BY page_no, link_pos) = 1""")
+def _(spark, sf):
+    return discovery.ordered_distinct(discovery.exploded_links(nav_links_df(spark, sf)))
+
+
+def _listing(spark, sf):
+    """Listing pages numbered by page id; one cut off before its end is a failed fetch."""
+    pages = table(spark, sf, "pages").withColumn("host", U.host_of("url"))
+    requests = pages.select(F.col("host").alias("profile_key"), F.col("page_id").alias("page_no"))
+    whole = pages.where(F.contains("html", F.lit("</html>")))
+    docs = extraction.bind_page(whole).withColumn("source_url", F.col("url"))
+    found = discovery.page_links(docs.withColumn("listing_selector", F.expr(sel("//nav//a"))))
+    return requests, stage(found.select(F.col("host").alias("profile_key"), F.col("page_id").alias("page_no"), "links"), "listing")
+
+
+@query("prefix_until_gap", f"""WITH r AS (SELECT {HOST} AS profile_key, page_id AS page_no, (html LIKE '%</html>%')::INT AS ok FROM pages),
+    g AS (SELECT *, sum(1 - ok) OVER (PARTITION BY profile_key ORDER BY page_no) AS gaps FROM r)
+    SELECT profile_key, page_no FROM g WHERE gaps = 0""")
+def _(spark, sf):
+    return discovery.prefix_until_gap(*_listing(spark, sf)).select("profile_key", "page_no")
+
+
+def _marked(spark, sf, limit: int) -> DataFrame:
+    """Links of every page, those whose last part holds an ``e`` imported before."""
+    links = stage(discovery.exploded_links(nav_links_df(spark, sf)), "links")
+    config = links.select("profile_key").distinct().select(
+        "profile_key", F.lit("post").alias("post_type"), F.lit(limit).alias("posts_per_batch")
+    )
+    old = links.where(F.contains(U.url_label("url"), F.lit("e")))
+    imported = old.select(
+        F.lit("post").alias("post_type"), "norm_url", F.col("page_no").alias("post_id"),
+        F.concat(F.lit("Title of "), "norm_url").alias("post_title"),
+    )
+    return discovery.mark_imported(links, config, imported)
+
+
+NAV_OLD = f"""{NAV}, known AS (SELECT DISTINCT {NORM} AS norm_url FROM links WHERE contains({LABEL}, 'e')),
+    marked AS (SELECT l.*, {NORM} AS n, ({NORM} IN (SELECT norm_url FROM known))::INT AS old FROM links l)"""
+
+
+@query("drop_imported", f"WITH {NAV_OLD} SELECT profile_key, page_no, link_pos, url FROM marked WHERE old = 0")
+def _(spark, sf):
+    return _marked(spark, sf, 5).where("is_new").select("profile_key", "page_no", "link_pos", "url")
+
+
+FILLED = f"""{NAV_OLD}, per AS (SELECT profile_key, page_no, sum(1 - old) AS fresh FROM marked GROUP BY ALL),
+    run AS (SELECT *, coalesce(sum(fresh) OVER (PARTITION BY profile_key ORDER BY page_no
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM per),
+    full_pages AS (SELECT m.* FROM marked m JOIN run USING (profile_key, page_no) WHERE before < 5)"""
+
+
+@query("imported_skips", f"""WITH {FILLED} SELECT profile_key, url, page_no, link_pos, 'Title of ' || n AS title,
+    'skipped' AS status, 'Already imported' AS reason FROM full_pages WHERE old = 1""")
+def _(spark, sf):
+    return discovery.imported_skips(discovery.fill_to_limit(_marked(spark, sf, 5)))
+
+
+@query("fill_to_limit", f"""WITH {FILLED} SELECT profile_key, url, page_no, link_pos FROM full_pages WHERE old = 0
+    QUALIFY row_number() OVER (PARTITION BY profile_key, url ORDER BY page_no, link_pos) = 1""")
+def _(spark, sf):
+    return discovery.candidates(discovery.fill_to_limit(_marked(spark, sf, 5)))
+
+
+@query("limit_mode_all", f"""WITH {NAV} SELECT profile_key, url, page_no, link_pos FROM links
+    QUALIFY row_number() OVER (PARTITION BY profile_key, url ORDER BY page_no, link_pos) = 1""")
+def _(spark, sf):
+    return discovery.candidates(discovery.fill_to_limit(_marked(spark, sf, 0)))
+
+
+@query("no_content_error", f"""WITH {NAV_OLD} SELECT DISTINCT profile_key, 'No content found!' AS error FROM raw
+    WHERE profile_key NOT IN (SELECT profile_key FROM marked WHERE old = 0 AND contains(url, 'w'))""")
+def _(spark, sf):
+    marked = _marked(spark, sf, 5)
+    found = discovery.candidates(marked).where(F.contains("url", F.lit("w")))
+    hosts = table(spark, sf, "pages").select(U.host_of("url").alias("profile_key")).distinct()
+    return discovery.no_content_errors(hosts, found)
+
+
+# ---- selection -----------------------------------------------------------------
+
+
+@query("page_tokens", r"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(html,
+        '(?s)<!--.*?-->|<script>.*?</script>|<style>.*?</style>|<[^>]*>|[^<]+')) AS t FROM pages),
+    k AS (SELECT CASE WHEN t LIKE '<!%' THEN 'other' WHEN t LIKE '</%' THEN 'close'
+        WHEN regexp_matches(t, '^<(br|meta)[ >]') THEN 'void' WHEN t LIKE '<%' THEN 'open' ELSE 'text' END AS kind,
+        coalesce(nullif(regexp_extract(t, '^</?([a-z0-9]+)', 1), ''), '-') AS tag FROM t),
+    x AS (SELECT kind, tag, count(*) AS n FROM k GROUP BY ALL
+        UNION ALL SELECT 'rawtext', '-', count(*) FROM k WHERE tag IN ('script', 'style')
+        UNION ALL SELECT 'close', tag, count(*) FROM k WHERE tag IN ('script', 'style') GROUP BY ALL)
+    SELECT kind, tag, sum(n)::BIGINT AS tokens FROM x GROUP BY ALL""")
+def _(spark, sf):
+    tokens = table(spark, sf, "pages").select(F.explode(F.expr(M.tokens("html"))).alias("t"))
+    return tokens.groupBy("t.kind", F.coalesce("t.tag", F.lit("-")).alias("tag")).agg(F.count("*").alias("tokens"))
+
+
+PARENTS = {
+    "html": "", "head": "html", "meta": "head", "title": "head", "style": "head", "script": "head", "body": "html",
+    "nav": "body", "ul": "nav", "li": "ul", "a": "li", "div": "body", "article": "body", "h1": "article",
+    "p": "article", "b": "p", "br": "b", "footer": "body",
+}
+
+
+@query("page_spans", f"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z0-9]+)', 1)) AS tag FROM pages)
+    SELECT page_id, tag, CASE tag {' '.join(f"WHEN '{t}' THEN '{p}'" for t, p in PARENTS.items())} END AS parent_tag,
+        count(*) AS elements FROM t GROUP BY ALL""")
+def _(spark, sf):
+    docs = page_docs(spark, sf)
+    inner = F.transform(
+        F.col("doc.nodes"),
+        lambda n: F.struct(n["tag"].alias("tag"), F.coalesce(
+            F.when(n["parent"] >= 0, F.element_at(F.col("doc.events"), n["parent"] + 1)["tag"]), F.lit("")
+        ).alias("parent_tag")),
+    )
+    return docs.select("page_id", F.inline(inner)).groupBy("page_id", "tag", "parent_tag").agg(F.count("*").alias("elements"))
+
+
+@query("select_union", f"""WITH {P} SELECT page_id, len(regexp_extract_all(html, '<li>')) + 1 AS picked,
+    {decoded("regexp_extract(html, '<a href=.([^>]*).>', 1)")} AS first_href,
+    {decoded("regexp_extract(html, '(?s)<nav>.*?<li><a[^>]*>.*?</li><li><a[^>]*>(.*?)</a>', 1)")} AS second_item FROM p""")
+def _(spark, sf):
+    docs = page_docs(spark, sf)
+    picked = F.size(F.expr(X.matches(sel("//nav//li | //article"), "doc.events", "doc.nodes")))
+    return docs.select(
+        "page_id", picked.cast("bigint").alias("picked"),
+        F.coalesce(text_of("//nav//a/@href"), F.lit("")).alias("first_href"),
+        F.coalesce(text_of("//nav/ul/li[2]/a"), F.lit("")).alias("second_item"),
+    )
+
+
+@query("select_predicates", f"""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS h FROM pages)
+    SELECT p.page_id, coalesce(min({decoded('h')}) FILTER (WHERE false), '') AS none,
+        count(*) FILTER (WHERE contains(h, 'th')) AS holding, count(*) FILTER (WHERE h LIKE '/e%') AS starting,
+        count(*) FILTER (WHERE h = '/de') AS equal FROM pages p LEFT JOIN a USING (page_id) GROUP BY p.page_id""")
+def _(spark, sf):
+    docs = page_docs(spark, sf)
+
+    def many(selector):
+        return F.size(F.expr(X.matches(sel(selector), "doc.events", "doc.nodes"))).cast("bigint")
+
+    return docs.select(
+        "page_id", F.coalesce(text_of("//a[0]"), F.lit("")).alias("none"),
+        many('//a[contains(@href, "th")]').alias("holding"), many('//a[starts-with(@href,"/e")]').alias("starting"),
+        many("//li/a[@href='/de']").alias("equal"),
+    )
+
+
+@query("article_text", f"SELECT page_id, {decoded(PLAIN.format(ARTICLE))} AS article_text FROM pages")
+def _(spark, sf):
+    return page_docs(spark, sf).select("page_id", text_of("//article").alias("article_text"))
+
+
+@query("article_html", f"SELECT page_id, {escaped(CLOSED)} AS article_html FROM pages")
+def _(spark, sf):
+    docs = page_docs(spark, sf)
+    one = f"element_at({X.matches(sel('//article'), 'doc.events', 'doc.nodes')}, 1)"
+    html = M.let("_a", one, M.markup_between("doc.events", "_a.start", "_a.end"))
+    return docs.select("page_id", F.expr(html).alias("article_html"))
+
+
+@query("decode_entities", f"""SELECT page_id, {decoded("regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1)")} AS footer FROM pages""")
+def _(spark, sf):
+    inner = F.regexp_extract("html", r"(?s)<footer>(.*?)</footer>", 1)
+    cut = table(spark, sf, "pages").select("page_id", inner.alias("inner"))
+    return cut.select("page_id", F.expr(M.decode_entities("inner")).alias("footer"))
+
+
+# ---- extraction ----------------------------------------------------------------
+
+
+@query("page_titles", f"WITH {P} SELECT page_id, title FROM p")
+def _(spark, sf):
+    return page_docs(spark, sf).select("page_id", T.php_trim(text_of("//h1")).alias("title"))
+
+
+@query("content_gate", rf"""WITH g AS (SELECT page_id, url, {LABEL} AS url_label,
+        {trimmed(decoded("regexp_extract(html, '(?s)<nav>.*?<a[^>]*>(.*?)</a>', 1)"))} AS t FROM pages)
+    SELECT page_id, url_label, t AS gate_text, CASE WHEN translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+        IN ('the', 'de', 'der', 'la') THEN 'open' ELSE 'closed' END AS gate FROM g""")
+def _(spark, sf):
+    docs = page_docs(spark, sf).withColumns(
+        {
+            "gate_selector": F.expr(sel("//nav//a")), "gate_selector_set": F.lit(True),
+            "content_gate_values": F.array(*[F.lit(v) for v in ("The", "DE", "der", "la")]),
+        }
+    )
+    return extraction.gate_columns(docs).select("page_id", U.url_label("url").alias("url_label"), "gate_text", "gate")
+
+
+def _content(spark, sf, mode: str, include: str, remove: str) -> DataFrame:
+    docs = page_docs(spark, sf).withColumn("mode", F.lit(mode))
+    lines = docs.withColumns({"inc": T.split_lines(F.lit(include)), "rem": T.split_lines(F.lit(remove))})
+    rules = lines.withColumns(
+        {"inc": F.expr(C.compiled_rules("inc")), "rem": F.expr(f"transform(rem, _l -> {X.compiled('_l')})")}
+    )
+    html = C.content_html("doc.events", "doc.nodes", sel("//article"), "mode", "inc", "rem")
+    return rules.select("page_id", F.expr(html).alias("content"))
+
+
+@query("content_exclude", rf"""SELECT page_id, {escaped(rf"regexp_replace({CLOSED}, '(?s)<h1>.*?</h1>', '')")} AS content FROM pages""")
+def _(spark, sf):
+    return _content(spark, sf, "exclude", "", "//h1\n//div[")
+
+
+@query("drop_nodes_in_order", rf"""SELECT page_id, {escaped(rf"regexp_replace(regexp_replace({CLOSED}, '(?s)<p>.*?</p>', ''), '(?s)<p>.*?</p>', '')")} AS content FROM pages""")
+def _(spark, sf):
+    return _content(spark, sf, "exclude", "", "//p[1]\n//p[1]")
+
+
+@query("content_include", rf"""SELECT page_id, '<hr>' || {escaped(rf"array_to_string(list_transform(regexp_extract_all({CLOSED}, '(?s)<p>.*?</p>'), lambda x: '<q>' || x || '</q>'), '')")}
+    || {escaped(rf"regexp_extract({CLOSED}, '(?s)<h1>.*?</h1>')")} AS content FROM pages""")
+def _(spark, sf):
+    return _content(spark, sf, "include", "html: <hr>\n//p | <q> | </q>\n//h1", "//h1")
+
+
+CLEAN_SQL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({},
+    '\r\n|\r|\n', ' ', 'g'), '\s\s+', ' ', 'g'), '(?i)<br\s*/?>\s*<br\s*/?>', '<br>', 'g'), '(?i)<p([^>]*)>\s*<br\s*/?>', '<p\1>', 'g'),
+    '(?i)<br\s*/?>\s*</p>', '</p>', 'g'), '>\s+<', '><', 'g')"""
+
+
+@query("clean_content", rf"""WITH d AS (SELECT doc_id, '<p>' || replace(text, chr(10), '<br>' || chr(10) || '<BR />') || '  </p> <pre>' || text || '</pre> <i>' || lang || '</i>' AS h,
+        text FROM documents WHERE NOT contains(text, '<'))
+    SELECT doc_id, {CLEAN_SQL.format("split_part(h, '<pre>', 1) || '<!---->' || split_part(h, '</pre>', 2)")} AS c0,
+        replace({CLEAN_SQL.format("split_part(h, '<pre>', 1) || '<!---->' || split_part(h, '</pre>', 2)")}, '<!---->', '<pre>' || text || '</pre>') AS content FROM d""")
+def _(spark, sf):
+    docs = table(spark, sf, "documents").where(~F.contains("text", F.lit("<")))
+    broken = F.replace("text", F.lit("\n"), F.lit("<br>\n<BR />"))
+    html = docs.select(
+        "doc_id",
+        F.concat(F.lit("<p>"), broken, F.lit("  </p> <pre>"), "text", F.lit("</pre> <i>"), "lang", F.lit("</i>")).alias("h"),
+        F.concat(F.lit("<p>"), broken, F.lit("  </p> <!----> <i>"), "lang", F.lit("</i>")).alias("h0"),
+    )
+    return html.select("doc_id", F.expr(C.clean_content("h0")).alias("c0"), F.expr(C.clean_content("h")).alias("content"))
+
+
+@query("excerpt", rf"""WITH a AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(
+            regexp_replace(html, '(?s)<p><b>(.*?)<br>', '<p><b>\1<br></b></p>', 'g'), '(?s)<p>(.*?)</p>', 1),
+            lambda x: {decoded(PLAIN.format('x'))}), lambda x: length(trim(regexp_replace(x, '[ \t\r\n]+', ' ', 'g'))) > 50) AS ps FROM pages),
+    w AS (SELECT page_id, list_filter(regexp_split_to_array({trimmed("coalesce(ps[1], '')")}, '[\n\r\t ]+'), lambda x: x <> '') AS w FROM a)
+    SELECT page_id, array_to_string(w[1:55], ' ') || CASE WHEN len(w) > 55 THEN '...' ELSE '' END AS excerpt FROM w""")
+def _(spark, sf):
+    found = page_docs(spark, sf).select("page_id", extraction.long_paragraph().alias("t"))
+    return found.select("page_id", F.coalesce(T.trim_words(T.php_trim("t")), F.lit("")).alias("excerpt"))
+
+
+@query("trim_words", r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\n\r\t ]+'), lambda x: x <> '') AS w
+        FROM documents WHERE NOT contains(text, '<'))
+    SELECT doc_id, array_to_string(w[1:55], ' ') || CASE WHEN len(w) > 55 THEN '...' ELSE '' END AS words FROM w""")
+def _(spark, sf):
+    docs = table(spark, sf, "documents").where(~F.contains("text", F.lit("<")))
+    return docs.select("doc_id", T.trim_words("text").alias("words"))
+
+
+@query("strip_title", rf"""SELECT page_id, {trimmed("regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->|<[^>]*>', '', 'g')")} AS title FROM pages""")
+def _(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.strip_tags("html").alias("title"))
+
+
+@query("prefix_css", r"""SELECT p_partkey, CASE WHEN p_type = 'SMALL' THEN '' ELSE '<style>.' || p_brand || ' { color: ' || p_name || '; }</style>' || chr(10) END
+    || '<p>' || p_name || '</p>' AS content FROM part""")
+def _(spark, sf):
+    css = F.concat(F.lit("  ."), "p_brand", F.lit(" {\n   color: "), "p_name", F.lit("; \r\n}\n"))
+    part = table(spark, sf, "part").select(
+        "p_partkey", F.when(F.col("p_type") == "SMALL", F.lit("0")).otherwise(css).alias("css"),
+        F.concat(F.lit("<p>"), "p_name", F.lit("</p>")).alias("body"),
+    )
+    return part.select(
+        "p_partkey",
+        F.when(F.col("css") == "0", F.col("body")).otherwise(F.expr(C.prefix_css("css", "body"))).alias("content"),
+    )
+
+
+@query("allow_tags", rf"""SELECT page_id, regexp_replace({ARTICLE}, '</?(time|script|style)[^>]*>', '', 'g') AS article,
+    regexp_replace(regexp_replace(regexp_extract(html, '(?s)<nav>.*</nav>'), '</?nav>', '', 'g'), ' onclick="x"', '', 'g') AS nav FROM pages""")
+def _(spark, sf):
+    cut = table(spark, sf, "pages").select(
+        "page_id", F.regexp_extract("html", r"(?s)<article>.*</article>", 0).alias("a"),
+        F.replace(F.regexp_extract("html", r"(?s)<nav>.*</nav>", 0), F.lit("<a "), F.lit('<a onclick="x" ')).alias("n"),
+    )
+    return cut.select("page_id", F.expr(C.allow_tags("a")).alias("article"), F.expr(C.allow_tags("n")).alias("nav"))
