@@ -74,6 +74,7 @@ H1 = trimmed(decoded("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)"))
 ARTICLE = "regexp_extract(html, '(?s)<article>.*</article>', 0)"
 # the tables leave <p><b>..<br> open; the serialised form closes both
 CLOSED = rf"regexp_replace({ARTICLE}, '(?s)<p><b>(.*?)<br>', '<p><b>\1<br></b></p>', 'g')"
+BARE = r"regexp_replace(regexp_replace({}, '(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>', '', 'g'), '(?s)<!--.*?-->|</?[A-Za-z!?][^>]*>', '', 'g')"
 PLAIN = r"regexp_replace({}, '(?s)<[^>]*>', '', 'g')"
 
 
@@ -641,11 +642,11 @@ CLEAN_SQL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(rege
 
 
 @query("clean_content", rf"""WITH d AS (SELECT doc_id, '<p>' || replace(text, chr(10), '<br>' || chr(10) || '<BR />') || '  </p> <pre>' || text || '</pre> <i>' || lang || '</i>' AS h,
-        text FROM documents WHERE NOT contains(text, '<'))
+        text FROM documents)
     SELECT doc_id, {CLEAN_SQL.format("split_part(h, '<pre>', 1) || '<!---->' || split_part(h, '</pre>', 2)")} AS c0,
         replace({CLEAN_SQL.format("split_part(h, '<pre>', 1) || '<!---->' || split_part(h, '</pre>', 2)")}, '<!---->', '<pre>' || text || '</pre>') AS content FROM d""")
 def _(spark, sf):
-    docs = table(spark, sf, "documents").where(~F.contains("text", F.lit("<")))
+    docs = table(spark, sf, "documents")
     broken = F.replace("text", F.lit("\n"), F.lit("<br>\n<BR />"))
     html = docs.select(
         "doc_id",
@@ -665,11 +666,11 @@ def _(spark, sf):
     return found.select("page_id", F.coalesce(T.trim_words(T.php_trim("t")), F.lit("")).alias("excerpt"))
 
 
-@query("trim_words", r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\n\r\t ]+'), lambda x: x <> '') AS w
-        FROM documents WHERE NOT contains(text, '<'))
+@query("trim_words", rf"""WITH t AS (SELECT doc_id, {trimmed(BARE.format("text"))} AS text FROM documents),
+    w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\n\r\t ]+'), lambda x: x <> '') AS w FROM t)
     SELECT doc_id, array_to_string(w[1:55], ' ') || CASE WHEN len(w) > 55 THEN '...' ELSE '' END AS words FROM w""")
 def _(spark, sf):
-    docs = table(spark, sf, "documents").where(~F.contains("text", F.lit("<")))
+    docs = table(spark, sf, "documents")
     return docs.select("doc_id", T.trim_words("text").alias("words"))
 
 
@@ -700,3 +701,518 @@ def _(spark, sf):
         F.replace(F.regexp_extract("html", r"(?s)<nav>.*</nav>", 0), F.lit("<a "), F.lit('<a onclick="x" ')).alias("n"),
     )
     return cut.select("page_id", F.expr(C.allow_tags("a")).alias("article"), F.expr(C.allow_tags("n")).alias("nav"))
+
+
+# ---- dates ---------------------------------------------------------------------
+
+
+@query("month_dates", """SELECT o_orderkey, strftime(CASE o_orderstatus WHEN 'F' THEN o_orderdate + INTERVAL 904 MINUTE
+        WHEN 'O' THEN o_orderdate + INTERVAL 545 MINUTE ELSE o_orderdate END, '%Y-%m-%d %H:%M:%S') AS shown FROM orders""")
+def _(spark, sf):
+    day = F.col("o_orderdate")
+    text = (
+        F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("Posted "), F.date_format(day, "MMM d, yyyy"), F.lit(" • 3:04 pm EST")))
+        .when(F.col("o_orderstatus") == "O", F.concat(F.date_format(day, "MMMM d, yyyy"), F.lit(" at 09:05")))
+        .otherwise(F.date_format(day, "MMM dd,yyyy"))
+    )
+    written = table(spark, sf, "orders").select("o_orderkey", text.alias("t"))
+    shown = D.parse_month_date(D.normalize_date_text("t"))
+    return written.select("o_orderkey", F.date_format(shown, "yyyy-MM-dd HH:mm:ss").alias("shown"))
+
+
+@query("general_dates", """WITH d AS (SELECT o_orderkey, CASE o_orderpriority
+        WHEN '1-URGENT' THEN o_orderdate WHEN '2-HIGH' THEN o_orderdate + INTERVAL 8 HOUR
+        WHEN '3-MEDIUM' THEN o_orderdate + INTERVAL 630 MINUTE WHEN '5-LOW' THEN o_orderdate + INTERVAL 17 HOUR
+        ELSE TIMESTAMP '2024-01-20 03:00:00' END AS utc FROM orders)
+    SELECT o_orderkey, strftime(timezone('America/New_York', timezone('UTC', utc)), '%Y-%m-%d %H:%M:%S') AS shown FROM d""")
+def _(spark, sf):
+    day, kind = F.col("o_orderdate"), F.col("o_orderpriority")
+    text = (
+        F.when(kind == "1-URGENT", F.date_format(day, "yyyy-MM-dd"))
+        .when(kind == "2-HIGH", F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T10:00:00+02:00")))
+        .when(kind == "3-MEDIUM", F.concat(F.date_format(day, "EEE, dd MMM yyyy"), F.lit(" 10:30:00 GMT")))
+        .when(kind == "5-LOW", F.concat(F.date_format(day, "M/d/yyyy"), F.lit(" 12:00 EST")))
+        .otherwise(F.lit("some day soon"))
+    )
+    written = table(spark, sf, "orders").select("o_orderkey", text.alias("t"))
+    shown = D.date_or_now("t", D.JSONLD_ZONE, run_ts())
+    return written.select("o_orderkey", F.date_format(shown, "yyyy-MM-dd HH:mm:ss").alias("shown"))
+
+
+@query("jsonld_dates", """SELECT event_id, CASE WHEN event_type = 'click' THEN NULL ELSE
+    strftime(timezone('America/New_York', timezone('UTC', date_trunc('second', ts))), '%Y-%m-%d %H:%M:%S') END AS shown FROM events""")
+def _(spark, sf):
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    published = F.concat(F.lit('{"@type": "NewsArticle", "datePublished": "'), iso, F.lit('"}'))
+    created = F.concat(F.lit('{"datePublished": null, "dateCreated": "'), iso, F.lit('"}'))
+    nested = F.concat(F.lit('[{"datePublished": "'), iso, F.lit('"}]'))
+    scripts = (
+        F.when(F.col("event_type") == "view", F.array(F.lit("{broken"), F.lit('{"datePublished": "soon"}'), created))
+        .when(F.col("event_type") == "click", F.array(nested))
+        .otherwise(F.array(published, F.lit('{"datePublished": "1999-01-01"}')))
+    )
+    docs = table(spark, sf, "events").select("event_id", scripts.alias("scripts"))
+    return docs.select("event_id", F.date_format(D.jsonld_date("scripts", run_ts()), "yyyy-MM-dd HH:mm:ss").alias("shown"))
+
+
+@query("today_only", """SELECT event_id, (timezone('America/New_York', timezone('UTC', ts))::DATE = DATE '2024-01-19')::INT AS today FROM events""")
+def _(spark, sf):
+    items = table(spark, sf, "events").select("event_id", D.to_zone(F.col("ts"), D.JSONLD_ZONE).alias("post_date"))
+    return imports.stream_today(items, run_ts(), D.JSONLD_ZONE).select("event_id", F.col("today").cast("int").alias("today"))
+
+
+@query("short_zone", """SELECT event_id, CASE WHEN month(ts) BETWEEN 4 AND 10 THEN 'ET' ELSE 'ET' END AS zone FROM events""")
+def _(spark, sf):
+    printed = F.when(F.month("ts").between(4, 10), F.lit("EDT")).otherwise(F.lit("EST"))
+    return table(spark, sf, "events").select("event_id", D.short_zone(printed).alias("zone"))
+
+
+@query("article_fields", """WITH c AS (SELECT c_custkey, c_name, c_mktsegment AS seg, DATE '2024-01-01' + c_nationkey AS d FROM customer),
+    x AS (SELECT *, CASE seg WHEN 'BUILDING' THEN d + INTERVAL 904 MINUTE WHEN 'FURNITURE' THEN d + INTERVAL 7 HOUR
+        WHEN 'MACHINERY' THEN TIMESTAMP '2024-01-19 22:00:00' ELSE d::TIMESTAMP END AS t FROM c)
+    SELECT c_custkey, 'About ' || c_name AS title, strftime(t, '%Y-%m-%d %H:%M:%S') AS post_date,
+        CASE seg WHEN 'FURNITURE' THEN 'jsonld' WHEN 'MACHINERY' THEN 'run' ELSE 'selector' END AS date_source,
+        CASE WHEN seg = 'FURNITURE' THEN 'ET' END AS source_timezone,
+        '<article><p>Some words about ' || c_name || ', long enough for a summary.</p><img src="/img/' || c_custkey || '.png"></article>' AS content,
+        'Some words about ' || c_name || ', long enough for a summary.' AS excerpt,
+        CASE WHEN seg = 'MACHINERY' THEN 'https://shop.example.com/big/' || c_custkey || '.jpg'
+            ELSE 'https://shop.example.com/img/' || c_custkey || '.png' END AS image_url FROM x""")
+def _(spark, sf):
+    """Whole field extraction over one small page per customer."""
+    seg, day = F.col("c_mktsegment"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("c_nationkey"))
+    time = (
+        F.when(seg == "BUILDING", F.concat(F.lit("<time>"), F.date_format(day, "MMM d, yyyy"), F.lit(" 3:04 PM ET</time>")))
+        .when(seg == "FURNITURE", F.concat(
+            F.lit('<time> - </time><script type="application/ld+json">{"datePublished":"'),
+            F.date_format(day, "yyyy-MM-dd"), F.lit('T12:00:00Z"}</script>')))
+        .when(seg == "MACHINERY", F.concat(F.lit('<a class="lead" href="https://shop.example.com/big/'), F.col("c_custkey").cast("string"), F.lit('.jpg">x</a>')))
+        .otherwise(F.concat(F.lit("<time>"), F.date_format(day, "MMMM d, yyyy"), F.lit("</time>")))
+    )
+    html = F.concat(
+        F.lit("<html><body><h1> About "), "c_name", F.lit("</h1>"), time, F.lit("<article>\n <p>Some words about "), "c_name",
+        F.lit(", long enough for a summary.</p>\n<img src='/img/"), F.col("c_custkey").cast("string"), F.lit(".png'/></article></body></html>"),
+    )
+    profile = spark.createDataFrame(
+        [("c", "https://shop.example.com/", "//h1", "//article", "//time", '//a[@class="lead"]')],
+        "profile_key string, source_url string, title_xpath string, content_xpath string, date_xpath string, image_xpath string",
+    )
+    config = profiles.profile_effective(profile)
+    docs = table(spark, sf, "customer").select("c_custkey", html.alias("html"), F.lit("c").alias("profile_key"))
+    # the settings are the one row above
+    bound = extraction.bind_page(docs.join(F.broadcast(config), "profile_key"))
+    return extraction.extract_fields(bound, run_ts(), D.JSONLD_ZONE).select(
+        "c_custkey", "title", F.date_format("post_date", "yyyy-MM-dd HH:mm:ss").alias("post_date"), "date_source",
+        "source_timezone", "content", "excerpt", "image_url",
+    )
+
+
+# ---- images --------------------------------------------------------------------
+
+IMAGE_SQL = """img AS (SELECT p_partkey, 'https://cdn.example.com/' || CASE p_type WHEN 'ECONOMY' THEN 'a/' || p_partkey || '.JPG?x=1'
+    WHEN 'SMALL' THEN 'b/' || p_partkey || '.pdf' WHEN 'STANDARD' THEN 'b/' || p_partkey
+    ELSE 'c/' || replace(p_name, ' ', '-') || '.png' END AS image_url, p_size, p_brand, p_name, p_type FROM part)"""
+
+
+def part_images(spark, sf):
+    key = F.col("p_partkey").cast("string")
+    tail = (
+        F.when(F.col("p_type") == "ECONOMY", F.concat(F.lit("a/"), key, F.lit(".JPG?x=1")))
+        .when(F.col("p_type") == "SMALL", F.concat(F.lit("/b/"), key, F.lit(".pdf")))
+        .when(F.col("p_type") == "STANDARD", F.concat(F.lit("https://cdn.example.com/b/"), key))
+        .otherwise(F.concat(F.lit("c/"), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit(".png")))
+    )
+    url = U.resolve_link(tail, F.lit("https://cdn.example.com:8443/list?x"))
+    return table(spark, sf, "part").select("p_partkey", url.alias("image_url"), "p_size", "p_brand", "p_name", "p_type")
+
+
+@query("image_urls", f"""WITH {IMAGE_SQL} SELECT p_partkey, image_url, (p_type NOT IN ('SMALL', 'STANDARD'))::INT AS is_image FROM img""")
+def _(spark, sf):
+    return part_images(spark, sf).select("p_partkey", "image_url", U.is_image_url("image_url").cast("int").alias("is_image"))
+
+
+ATTACHED_SQL = f"""{IMAGE_SQL}, att AS (SELECT p_partkey + 100000 AS attachment_id, 'https://site.example.org/up/' || CASE WHEN p_size > 30
+        THEN replace(p_name, ' ', '-') || '.png' ELSE 'x' || p_partkey || '.jpg' END AS guid,
+        CASE WHEN p_size < 10 THEN image_url END AS source_image_url FROM img),
+    s AS (SELECT source_image_url AS image_url, min(attachment_id) AS by_source FROM att WHERE source_image_url IS NOT NULL GROUP BY ALL),
+    n AS (SELECT regexp_extract(guid, '[^/]+$') AS name, min(attachment_id) AS by_name FROM att GROUP BY ALL),
+    matched AS (SELECT i.*, by_source, by_name FROM img i LEFT JOIN s USING (image_url)
+        LEFT JOIN n ON regexp_extract(split_part(i.image_url, '?', 1), '[^/]+$') = n.name)"""
+
+
+def matched_images(spark, sf):
+    items = part_images(spark, sf)
+    guid = F.when(F.col("p_size") > 30, F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit(".png"))).otherwise(
+        F.concat(F.lit("x"), F.col("p_partkey").cast("string"), F.lit(".jpg"))
+    )
+    attachments = items.select(
+        (F.col("p_partkey") + 100000).alias("attachment_id"), F.concat(F.lit("https://site.example.org/up/"), guid).alias("guid"),
+        F.when(F.col("p_size") < 10, F.col("image_url")).alias("source_image_url"),
+    )
+    return images.match_attachments(items, attachments)
+
+
+@query("attachment_match", f"WITH {ATTACHED_SQL} SELECT p_partkey, by_source, by_name FROM matched")
+def _(spark, sf):
+    return matched_images(spark, sf).select("p_partkey", "by_source", "by_name")
+
+
+@query("featured_image", f"""WITH {ATTACHED_SQL}, f AS (SELECT *, p_type NOT IN ('SMALL', 'STANDARD') AS ok, p_size - 25 AS fallback,
+        coalesce(by_source, by_name) AS stored FROM matched)
+    SELECT p_partkey, CASE WHEN ok AND stored IS NOT NULL THEN 'attachment' WHEN ok THEN 'external'
+        WHEN fallback > 0 THEN 'fallback' ELSE 'none' END AS image_source,
+        CASE WHEN ok THEN stored WHEN fallback > 0 THEN fallback END AS thumbnail_id,
+        (NOT ok AND fallback > 0)::INT AS used_fallback FROM f""")
+def _(spark, sf):
+    items = matched_images(spark, sf).withColumn("fallback_image_id", F.col("p_size") - 25)
+    return images.featured_image(items).select(
+        "p_partkey", "image_source", "thumbnail_id", F.col("used_fallback").cast("int").alias("used_fallback")
+    )
+
+
+@query("mime_extension", """SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN 'jpg' WHEN 'SMALL' THEN 'svg' WHEN 'STANDARD' THEN 'webp' END AS extension FROM part""")
+def _(spark, sf):
+    kind = F.col("p_type")
+    mime = F.when(kind == "ECONOMY", F.lit("image/jpeg")).when(kind == "SMALL", F.lit("image/svg+xml")).when(
+        kind == "STANDARD", F.lit("image/webp")).otherwise(F.lit("text/html"))
+    return table(spark, sf, "part").select("p_partkey", images.mime_extension(mime).alias("extension"))
+
+
+# ---- outcomes ------------------------------------------------------------------
+
+LIMIT = 5
+ITEMS_SQL = rf"""{P}, {OLD},
+    g AS (SELECT page_id, {trimmed(decoded("regexp_extract(html, '(?s)<nav>.*?<a[^>]*>(.*?)</a>', 1)"))} AS t FROM pages),
+    it AS (SELECT page_id, url, host AS profile_key, page_id // 10 AS page_no, (page_id % 10)::INT AS link_pos, lang AS post_type,
+        html LIKE '%</html>%' AS fetched, t AS gate_text, contains(t, 'e') AS is_open, title, {LABEL} AS label,
+        DATE '2024-01-18' + (length(html) % 3)::INT AS day FROM p JOIN g USING (page_id)),
+    known AS (SELECT DISTINCT lang AS post_type, title FROM old WHERE post_status = 'publish'),
+    flagged AS (SELECT it.*, k.title IS NOT NULL AS title_known FROM it LEFT JOIN known k USING (post_type, title)),
+    base AS (SELECT *, CASE WHEN NOT fetched THEN 'error' WHEN NOT is_open OR title_known OR day <> DATE '2024-01-19' THEN 'skipped' ELSE 'created' END AS status,
+        CASE WHEN NOT fetched THEN 'Failed to fetch' WHEN NOT is_open THEN 'Content gate: "' || gate_text || '"'
+            WHEN title_known THEN 'Title already exists' WHEN day <> DATE '2024-01-19' THEN 'Not published today' END AS reason,
+        CASE WHEN fetched AND NOT is_open THEN label ELSE title END AS shown FROM flagged),
+    firsts AS (SELECT profile_key, post_type, title, min(page_id) AS f FROM base WHERE status = 'created' GROUP BY ALL),
+    live AS (SELECT b.* EXCLUDE (status, reason), f < page_id AND (status = 'created' OR reason = 'Not published today') AS blocked,
+        CASE WHEN f < page_id AND (status = 'created' OR reason = 'Not published today') THEN 'skipped' ELSE status END AS status,
+        CASE WHEN f < page_id AND (status = 'created' OR reason = 'Not published today') THEN 'Title already exists' ELSE reason END AS reason
+        FROM base b LEFT JOIN firsts USING (profile_key, post_type, title)),
+    cut AS (SELECT * FROM live QUALIFY coalesce(sum((status <> 'skipped')::INT) OVER (PARTITION BY profile_key ORDER BY page_id
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < {LIMIT})"""
+
+
+def page_items(spark, sf):
+    """One item per page: host as profile, gate on the first navigation entry, a day
+    from the page length; a page cut off before its end failed to fetch."""
+    raw = table(spark, sf, "pages").withColumns({
+        "fetched": F.contains("html", F.lit("</html>")),
+        "post_date": F.date_add(F.lit("2024-01-18").cast("date"), (F.length("html") % 3)).cast("timestamp_ntz"),
+    })
+    docs = extraction.bind_page(raw)
+    gate_text = T.php_trim(text_of("//nav//a"))
+    titled = T.bind(docs, gate_text=gate_text, title=T.php_trim(text_of("//h1")), lang=text_of("/html/@lang")).drop("doc")
+    items = titled.select(
+        "page_id", "url", U.host_of("url").alias("profile_key"), F.floor(F.col("page_id") / 10).alias("page_no"),
+        (F.col("page_id") % 10).cast("int").alias("link_pos"), F.col("lang").alias("post_type"), "fetched", "gate_text",
+        F.when(F.contains("gate_text", F.lit("e")), F.lit("open")).otherwise(F.lit("closed")).alias("gate"),
+        "title", T.strip_tags("title").alias("post_title"), "post_date", F.lit(True).alias("complete"),
+        F.lit(LIMIT).alias("posts_per_batch"), "lang",
+    ).withColumn("place", F.struct("page_no", "link_pos"))
+    return stage(items, "items")
+
+
+def judged_items(spark, sf, live=True):
+    items = page_items(spark, sf)
+    posts, _meta = imported_posts(items)
+    known = outcome.title_exists(items, tables.imported_titles(posts))
+    base = outcome.base_outcome(known, run_ts(), D.JSONLD_ZONE, today_only=True)
+    return outcome.first_title_wins(base, ["profile_key"]) if live else base
+
+
+@query("title_exists", f"WITH {ITEMS_SQL} SELECT page_id, title_known::INT AS title_known FROM flagged")
+def _(spark, sf):
+    items = page_items(spark, sf)
+    known = outcome.title_exists(items, tables.imported_titles(imported_posts(items)[0]))
+    return known.select("page_id", F.col("title_known").cast("int").alias("title_known"))
+
+
+@query("title_dedup_dry", f"WITH {ITEMS_SQL} SELECT page_id, shown AS title, status, reason FROM base")
+def _(spark, sf):
+    return judged_items(spark, sf, live=False).select("page_id", "title", "status", "reason")
+
+
+@query("title_dedup_live", f"WITH {ITEMS_SQL} SELECT page_id, shown AS title, status, reason FROM live")
+def _(spark, sf):
+    return judged_items(spark, sf).select("page_id", "title", "status", "reason")
+
+
+@query("batch_cut", f"WITH {ITEMS_SQL} SELECT page_id, status, reason FROM cut")
+def _(spark, sf):
+    return outcome.batch_cut(stage(judged_items(spark, sf), "judged")).select("page_id", "status", "reason")
+
+
+@query("run_stats", f"""WITH {ITEMS_SQL} SELECT profile_key, count(*) AS processed, count(*) FILTER (WHERE status = 'created') AS created,
+    count(*) FILTER (WHERE status = 'skipped') AS skipped, count(*) FILTER (WHERE status = 'error') AS errors FROM live GROUP BY profile_key""")
+def _(spark, sf):
+    return report.run_stats(judged_items(spark, sf))
+
+
+@query("item_log", f"WITH {ITEMS_SQL} SELECT profile_key, url, shown AS title, status, reason FROM live WHERE status <> 'error'")
+def _(spark, sf):
+    return report.item_log(judged_items(spark, sf))
+
+
+@query("reason_summary", f"WITH {ITEMS_SQL} SELECT status, coalesce(reason, '') AS reason, count(*) AS items FROM live GROUP BY ALL")
+def _(spark, sf):
+    return report.reason_summary(judged_items(spark, sf))
+
+
+# ---- terms ---------------------------------------------------------------------
+
+TERMS_SQL = f"""{CP}, want AS (SELECT DISTINCT profile_key, 'category' AS taxonomy, trim(unnest(string_split(categories, ','))) AS name FROM cp),
+    w AS (SELECT * FROM want WHERE name <> ''),
+    known AS (SELECT n_nationkey + 10 AS term_id, 'n' || n_nationkey AS name, 'category' AS taxonomy FROM nation WHERE n_regionkey < 3)"""
+
+
+def _terms(spark, sf):
+    nation = table(spark, sf, "nation").where("n_regionkey < 3")
+    known = nation.select(
+        (F.col("n_nationkey") + 10).cast("bigint").alias("term_id"),
+        F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("name"), F.lit("category").alias("taxonomy"),
+    )
+    p = customer_profiles(spark, sf).withColumn("tags", F.lit(""))
+    return p, terms.get_or_create_terms(terms.wanted_terms(p), known)
+
+
+@query("terms_created", f"""WITH {TERMS_SQL}, fresh AS (SELECT DISTINCT taxonomy, name FROM w ANTI JOIN known USING (taxonomy, name))
+    SELECT taxonomy, name, (SELECT max(term_id) FROM known) + 1 AS first_id, (SELECT max(term_id) + (SELECT count(*) FROM fresh) FROM known) AS last_id FROM fresh""")
+def _(spark, sf):
+    _p, (_linked, created) = _terms(spark, sf)
+    ids = created.agg(F.min("term_id").alias("first_id"), F.max("term_id").alias("last_id"))
+    # one row: the id range
+    return created.select("taxonomy", "name").join(F.broadcast(ids))
+
+
+@query("terms_assigned", f"""WITH {TERMS_SQL} SELECT c.o_orderkey AS post_id, w.name AS term FROM orders c
+    JOIN cp ON cp.c_custkey = c.o_custkey JOIN w USING (profile_key)""")
+def _(spark, sf):
+    p, (linked, _created) = _terms(spark, sf)
+    posts = table(spark, sf, "orders").join(p.select("c_custkey", "profile_key"), F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("o_orderkey").alias("post_id"), "profile_key"
+    )
+    names = linked.select("term_id", "name").distinct()
+    return terms.assign_terms(posts, linked).join(names, "term_id").select("post_id", F.col("name").alias("term"))
+
+
+# ---- schedules -----------------------------------------------------------------
+
+
+@query("interval_usage", f"""WITH {CP}, i AS (SELECT f, p, s, 'every_' || f || '_per_' || p AS interval_key, floor(s / f)::INT AS interval_seconds,
+        f || ' time(s) per ' || p AS display FROM range(1, 25) r(f), (VALUES ('hour', 3600), ('day', 86400), ('week', 604800)) v(p, s)),
+    k AS (SELECT 'every_' || least(24, greatest(1, cron_frequency::INT)) || '_per_' || CASE WHEN cron_period = 'month' THEN 'day' ELSE cron_period END AS interval_key FROM cp)
+    SELECT interval_key, interval_seconds, display, count(k.interval_key) AS profiles FROM i LEFT JOIN k USING (interval_key) GROUP BY ALL""")
+def _(spark, sf):
+    """K1, K2: every interval with the number of profiles on it."""
+    used = schedule.profile_interval(customer_profiles(spark, sf)).groupBy("interval_key").agg(F.count("*").alias("n"))
+    return schedule.interval_table(spark).join(used, "interval_key", "left").select(
+        "interval_key", "interval_seconds", "display", F.coalesce("n", F.lit(0)).alias("profiles")
+    )
+
+
+SCHEDULE_SQL = f"""{CP}, ev AS (
+    SELECT 'dgd_scraper_cron_' || profile_key AS hook, CASE WHEN c_nationkey > 15 THEN 'daily' ELSE
+        'every_' || least(24, greatest(1, cron_frequency::INT)) || '_per_' || CASE WHEN cron_period = 'month' THEN 'day' ELSE cron_period END END AS schedule,
+        TIMESTAMP '2024-01-20 05:00:00' AS next_run FROM cp WHERE c_nationkey > 5
+    UNION ALL SELECT 'dgd_scraper_cron_gone-' || s_suppkey, 'daily', TIMESTAMP '2024-01-20 06:00:00' FROM supplier
+    UNION ALL SELECT 'other_' || s_suppkey, 'daily', TIMESTAMP '2024-01-20 06:00:00' FROM supplier),
+    own AS (SELECT * FROM ev WHERE hook LIKE 'dgd_scraper_cron_%'),
+    want AS (SELECT 'dgd_scraper_cron_' || profile_key AS hook, profile_key, cron_enabled = '1' AS enabled,
+        least(24, greatest(1, cron_frequency::INT)) AS f, CASE WHEN cron_period = 'month' THEN 'day' ELSE cron_period END AS p, cron_frequency, cron_period FROM cp)"""
+
+
+def _schedule(spark, sf):
+    p = customer_profiles(spark, sf)
+    keyed = schedule.profile_interval(p).join(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
+    mine = keyed.where("c_nationkey > 5").select(
+        "hook", F.when(F.col("c_nationkey") > 15, F.lit("daily")).otherwise(F.col("interval_key")).alias("schedule"),
+        F.lit("2024-01-20 05:00:00").cast("timestamp_ntz").alias("next_run"),
+    )
+    other = table(spark, sf, "supplier").select(
+        F.explode(F.array(F.lit("dgd_scraper_cron_gone-"), F.lit("other_"))).alias("h"), "s_suppkey"
+    ).select(
+        F.concat("h", F.col("s_suppkey").cast("string")).alias("hook"), F.lit("daily").alias("schedule"),
+        F.lit("2024-01-20 06:00:00").cast("timestamp_ntz").alias("next_run"),
+    )
+    return p, mine.unionByName(other)
+
+
+@query("reconcile_schedule", f"""WITH {SCHEDULE_SQL}, b AS (SELECT coalesce(want.hook, own.hook) AS hook, enabled, own.schedule AS actual_key,
+        'every_' || f || '_per_' || p AS ik, own.next_run AS nr,
+        TIMESTAMP '2024-01-20 03:00:00' + to_seconds(floor(CASE p WHEN 'hour' THEN 3600 WHEN 'day' THEN 86400 ELSE 604800 END / f)::INT) AS fr
+        FROM want FULL JOIN own ON want.hook = own.hook),
+    a AS (SELECT *, CASE WHEN enabled IS NULL THEN 'cancel_orphan' WHEN NOT enabled AND actual_key IS NOT NULL THEN 'cancel' WHEN NOT enabled THEN 'none'
+        WHEN actual_key IS NULL THEN 'create' WHEN actual_key = ik THEN 'keep' ELSE 'reschedule' END AS action FROM b)
+    SELECT hook, action, actual_key, CASE WHEN enabled THEN ik END AS interval_key, strftime(CASE WHEN action IN ('create', 'reschedule') THEN fr WHEN action = 'keep' THEN nr END, '%Y-%m-%d %H:%M:%S') AS next_run FROM a WHERE action <> 'none'""")
+def _(spark, sf):
+    plan = schedule.reconcile_schedule(*_schedule(spark, sf), run_ts())
+    return plan.withColumn("next_run", F.date_format("next_run", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("plugin_events", f"WITH {SCHEDULE_SQL} SELECT DISTINCT hook FROM own")
+def _(spark, sf):
+    return schedule.plugin_events(_schedule(spark, sf)[1])
+
+
+@query("schedule_check", f"""WITH {SCHEDULE_SQL}, c AS (SELECT profile_key, 'every_' || cron_frequency || '_per_' || cron_period AS expected_key, schedule AS actual_key, next_run
+        FROM want LEFT JOIN own USING (hook) WHERE enabled)
+    SELECT profile_key, expected_key, actual_key, CASE WHEN actual_key IS NULL THEN 'not scheduled' WHEN actual_key = expected_key THEN 'matches' ELSE 'mismatch' END AS state,
+        date_diff('second', TIMESTAMP '2024-01-20 03:00:00', next_run) AS seconds_until FROM c""")
+def _(spark, sf):
+    return schedule.schedule_check(*_schedule(spark, sf), run_ts())
+
+
+# ---- whole runs ----------------------------------------------------------------
+
+
+def crawl(spark, sf):
+    """A crawl made of the pages: per host listing pages of ten links each, and the
+    pages themselves, of which those cut off before their end came back with an error."""
+    pages = table(spark, sf, "pages").withColumn("host", U.host_of("url"))
+    order = sum_before(
+        pages.select("host", "page_id", "url"), ["host"], F.floor(F.col("page_id") / 1024), ["page_id"], F.lit(1), "n"
+    )
+    link = F.concat(F.lit('<li><a href="'), "url", F.lit('">x</a></li>'))
+    lists = (
+        order.groupBy("host", F.floor(F.col("n") / 10).cast("int").alias("block"))
+        .agg(F.array_sort(F.collect_list(F.struct("page_id", link.alias("link")))).alias("links"))
+        .select(
+            U.build_page_url(F.concat(F.lit("http://"), "host"), F.lit("page"), F.col("block") + 1).alias("url"),
+            F.lit(200).alias("status"),
+            F.concat(F.lit("<ul>"), F.array_join(F.transform("links", lambda x: x["link"]), ""), F.lit("</ul>")).alias("html"),
+        )
+    )
+    status = F.when(F.contains("html", F.lit("</html>")), 200).otherwise(500)
+    found = lists.unionByName(pages.select("url", status.alias("status"), "html"))
+    limit = F.when(F.startswith("host", F.lit("www")), F.lit("0")).otherwise(F.lit("20"))
+    hosts = pages.select("host").distinct().select(
+        F.col("host").alias("profile_key"), F.col("host").alias("profile_name"), F.concat(F.lit("http://"), "host").alias("source_url"),
+        F.lit("//li/a").alias("listing_xpath"), F.lit("//h1").alias("title_xpath"), F.lit("//article").alias("content_xpath"),
+        F.lit("//time").alias("date_xpath"), F.lit("//h1").alias("remove_xpaths"), F.lit("1000").alias("max_pages"),
+        limit.alias("posts_per_batch"), F.lit("News, Web").alias("categories"), F.lit("crawl").alias("tags"),
+    )
+    return hosts, found
+
+
+def crawl_history(spark, sf):
+    posts, meta = imported_posts(page_titles_df(spark, sf).withColumn("lang", F.lit("post")))
+    return posts, meta
+
+
+def crawl_sql(old: str, live: bool) -> str:
+    blocked = "f < place" if live else "false"
+    return f"""{P}, old AS ({old}),
+    o AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) - 1 AS n, CASE WHEN host LIKE 'www%' THEN 0 ELSE 20 END AS lim FROM p),
+    l AS (SELECT *, n // 10 + 1 AS page_no, (n % 10)::INT AS link_pos, lim = 0 OR {NORM} NOT IN (SELECT {NORM} FROM old) AS is_new FROM o),
+    per AS (SELECT host, page_no, sum(is_new::INT) AS fresh FROM l GROUP BY ALL),
+    runp AS (SELECT *, coalesce(sum(fresh) OVER (PARTITION BY host ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM per),
+    kept AS (SELECT l.* FROM l JOIN runp USING (host, page_no) WHERE lim = 0 OR before < lim),
+    base AS (SELECT *, row(host, n) AS place, CASE WHEN html NOT LIKE '%</html>%' THEN 'error' WHEN title IN (SELECT title FROM old WHERE post_status = 'publish') THEN 'skipped' ELSE 'created' END AS status FROM kept WHERE is_new),
+    f1 AS (SELECT host, title, min(place) AS f FROM base WHERE status = 'created' GROUP BY ALL),
+    s1 AS (SELECT b.* EXCLUDE (status), CASE WHEN status = 'created' AND {blocked} THEN 'skipped' ELSE status END AS status FROM base b LEFT JOIN f1 USING (host, title)),
+    c1 AS (SELECT * FROM s1 QUALIFY lim = 0 OR coalesce(sum((status <> 'skipped')::INT) OVER (PARTITION BY host ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < lim),
+    f2 AS (SELECT title, min(place) AS f FROM c1 WHERE status = 'created' GROUP BY ALL),
+    s2 AS (SELECT c.* EXCLUDE (status), CASE WHEN status = 'created' AND {blocked} THEN 'skipped' ELSE status END AS status FROM c1 c LEFT JOIN f2 USING (title)),
+    res AS (SELECT host AS profile_key, url, CASE WHEN status = 'error' THEN NULL ELSE title END AS title, status,
+        CASE status WHEN 'error' THEN 'Failed to fetch' WHEN 'skipped' THEN 'Title already exists' END AS reason FROM s2
+        UNION ALL SELECT host, url, title, 'skipped', 'Already imported' FROM kept WHERE NOT is_new)"""
+
+
+OLD_PAGES = OLD[OLD.index("(") + 1:-1]
+NO_PAGES = "SELECT *, 'publish' AS post_status FROM p WHERE false"
+
+
+def _run(spark, sf, live):
+    hosts, found = crawl(spark, sf)
+    posts, meta = crawl_history(spark, sf)
+    empty = {t: spark.createDataFrame([], ddl) for t, ddl in (("terms", profiles.S.TERMS), ("attachments", profiles.S.ATTACHMENTS))}
+    return import_run(hosts, found, posts, meta, empty["terms"], empty["attachments"], run_ts(), live=live)
+
+
+@query("import_live", f"WITH {crawl_sql(OLD_PAGES, True)} SELECT profile_key, url, title, status, reason FROM res")
+def _(spark, sf):
+    return _run(spark, sf, True).outcomes.select("profile_key", "url", "title", "status", "reason")
+
+
+@query("import_dry", f"WITH {crawl_sql(OLD_PAGES, False)} SELECT profile_key, url, title, status, reason FROM res")
+def _(spark, sf):
+    return _run(spark, sf, False).outcomes.select("profile_key", "url", "title", "status", "reason")
+
+
+@query("import_posts", rf"""WITH {crawl_sql(OLD_PAGES, True)}, r AS (SELECT s2.*, {escaped(rf"regexp_replace({CLOSED}, '(?s)<h1>.*?</h1>', '')")} AS c FROM s2 WHERE status = 'created')
+    SELECT title AS post_title, 'post' AS post_type, 'publish' AS post_status, '2024-01-20 03:00:00' AS post_date, {CLEAN_SQL.format('c')} AS post_content FROM r""")
+def _(spark, sf):
+    return _run(spark, sf, True).posts.select(
+        "post_title", "post_type", "post_status", F.date_format("post_date", "yyyy-MM-dd HH:mm:ss").alias("post_date"), "post_content"
+    )
+
+
+# ---- streams -------------------------------------------------------------------
+
+
+def event_stream(spark, sf):
+    batch = table(spark, sf, "events")
+    return (
+        spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+        .withColumn("at", F.col("ts").cast("timestamp"))
+        .withColumn("url", F.concat(F.lit("HTTPS://Feed.example.com/U/"), F.col("user_id").cast("string"), F.lit("/")))
+    )
+
+
+def run_stream(stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream over what has arrived into a table and read the table."""
+    spark = stream.sparkSession
+    folder = f"{shared_folder(spark)}/{name}-{imports.uuid4().hex}"
+    done = (
+        stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state")
+        .outputMode("append").trigger(availableNow=True).start()
+    )
+    done.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+@query("stream_dedup_url", "SELECT DISTINCT 'https://feed.example.com/u/' || user_id AS norm_url FROM events")
+def _(spark, sf):
+    distinct = imports.stream_dedup_url(event_stream(spark, sf).select("url", "at"), "60 days", at="at")
+    return run_stream(distinct.select("norm_url"), "dedup")
+
+
+@query("stream_stats", """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS processed,
+    count(*) FILTER (WHERE event_type = 'purchase') AS created, count(*) FILTER (WHERE event_type = 'view') AS skipped,
+    count(*) FILTER (WHERE event_type = 'click') AS errors FROM events GROUP BY ALL""")
+def _(spark, sf):
+    status = F.when(F.col("event_type") == "purchase", F.lit("created")).when(F.col("event_type") == "view", F.lit("skipped")).when(
+        F.col("event_type") == "click", F.lit("error")).otherwise(F.lit("other"))
+    stats = imports.stream_stats(event_stream(spark, sf).select("at", status.alias("status")), "at", "1 hour", "1 day")
+    folder = f"{shared_folder(spark)}/stats-{imports.uuid4().hex}"
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows")
+
+    done = stats.writeStream.foreachBatch(keep).outputMode("complete").option(
+        "checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    done.awaitTermination()
+    rows = spark.read.schema(stats.schema).parquet(f"{folder}/rows")
+    return rows.withColumn("day", F.date_format("window_start", "yyyy-MM-dd")).drop("window_start")
+
+
+@query("stream_import", f"WITH {crawl_sql(NO_PAGES, True)} SELECT profile_key, url, title, status, reason FROM res")
+def _(spark, sf):
+    """The crawl arrives as files, one unattended run takes what is there."""
+    hosts, found = crawl(spark, sf)
+    folder = f"{shared_folder(spark)}/crawl-{imports.uuid4().hex}"
+    found.withColumn("fetched_at", F.lit(None).cast("timestamp")).write.parquet(f"{folder}/pages")
+    none = spark.createDataFrame([], profiles.S.ATTACHMENTS)
+    done = imports.import_stream(
+        imports.page_stream(spark, f"{folder}/pages", 1_000_000), stage(hosts, "hosts"), none, f"{folder}/out", f"{folder}/state", run_ts(),
+    ).start()
+    done.awaitTermination()
+    return spark.read.parquet(f"{folder}/out/outcomes").select("profile_key", "url", "title", "status", "reason")
