@@ -169,7 +169,8 @@ def _token(kind: str, raw: str, tag="cast(null as string)", attrs=_ATTRS, own="0
 
 
 def tokens(html: str) -> str:
-    """Classified tokens; the bit masks say which open elements a tag ends."""
+    """Classified tokens; the bit masks say which open elements a tag ends. ``raw`` of
+    a text token has its references decoded, all others are as written."""
     table = _tag_table()
     other = table.pop(OTHER_TAG)
     name = quote(r"^</?([A-Za-z][^\s/>]*+)")
@@ -190,7 +191,7 @@ def tokens(html: str) -> str:
     named = f"""case when _n = '' then array({_token("if(_k = '<', 'text', 'other')", "_k")})
         else {let("_m", lookup(table, "_n", other), tag_case)} end"""
     classify = f"""case
-        when not startswith(_k, '<') then array({_token("'text'", "_k")})
+        when not startswith(_k, '<') then array({_token("'text'", decode_entities("_k"))})
         else {let("_n", f"lower(regexp_extract(_k, {name}, 1))", named)} end"""
     return f"flatten(transform({raw_tokens(html)}, _k -> {classify}))"
 
@@ -291,9 +292,8 @@ def parsed(html: str) -> str:
 
 def text_between(stream: str, start: str, end: str) -> str:
     """Text of the events in a range, references decoded."""
-    piece = f"case when _e.kind = 'text' then {decode_entities('_e.raw')} else _e.raw end"
     inside = f"filter(slice({stream}, {start} + 1, {end} - {start} + 1), _e -> _e.kind in ('text', 'rawtext'))"
-    return f"array_join(transform({inside}, _e -> {piece}), '')"
+    return f"array_join(transform({inside}, _e -> _e.raw), '')"
 
 
 def attr_markup(attrs: str) -> str:
@@ -304,7 +304,7 @@ def attr_markup(attrs: str) -> str:
 def event_markup(e: str) -> str:
     """Markup of one event: lower-case tags, quoted attributes, escaped text."""
     return f"""case
-        when {e}.kind = 'text' then {escape_text(decode_entities(f'{e}.raw'))}
+        when {e}.kind = 'text' then {escape_text(f'{e}.raw')}
         when {e}.kind = 'open' then concat('<', {e}.tag, coalesce({attr_markup(f'{e}.attrs')}, ''), '>')
         when {e}.kind = 'close' and not array_contains({string_array(VOID_TAGS)}, {e}.tag) then concat('</', {e}.tag, '>')
         when {e}.kind = 'rawtext' or startswith({e}.raw, '<!--') then {e}.raw
