@@ -15,10 +15,20 @@ PAGES_PER_BLOCK = 1024
 
 
 def page_sequence(config: DataFrame) -> DataFrame:
-    """One row per listing page a profile may read."""
-    pages = F.sequence(F.col("start_page"), F.col("start_page") + F.col("max_pages") - 1)
-    return config.select("*", F.explode(pages).alias("page_no")).withColumn(
-        "page_url", build_page_url("source_url", "page_param", "page_no")
+    """One row per listing page a profile may read.
+
+    Page ranges are cut into blocks and spread before they are unrolled, so a profile
+    with most of the pages is not unrolled by one task.
+    """
+    narrow = config.select("profile_key", "source_url", "page_param", "listing_selector", "start_page", "max_pages")
+    last = F.col("start_page") + F.col("max_pages") - 1
+    firsts = F.sequence(F.col("start_page"), last, F.lit(PAGES_PER_BLOCK))
+    blocks = narrow.withColumn("last_page", last).withColumn("first_page", F.explode(firsts))
+    pages = F.sequence("first_page", F.least(F.col("last_page"), F.col("first_page") + PAGES_PER_BLOCK - 1))
+    return (
+        blocks.repartition("profile_key", "first_page")
+        .select("profile_key", "source_url", "page_param", "listing_selector", F.explode(pages).alias("page_no"))
+        .withColumn("page_url", build_page_url("source_url", "page_param", "page_no"))
     )
 
 

@@ -188,11 +188,6 @@ def apply_profile_changes(profiles: DataFrame, changes: DataFrame, epoch: Column
     )
     latest = Window.partitionBy("profile_key").orderBy(F.desc("seq"))
     state = everything.withColumn("_n", F.row_number().over(latest)).where("_n = 1 and not gone")
-    purge_seq = changes.where(F.col("op") == "purge").agg(F.max("seq").alias("_purge"))
+    purged = changes.where(F.col("op") == "purge").agg(F.max("seq").alias("purged")).scalar()
     nameless = ~is_present("profile_name") | (F.col("profile_name") == "Unnamed Profile")
-    return (
-        # one row: the last purge
-        state.join(F.broadcast(purge_seq), F.lit(True), "left")
-        .where(~(nameless & F.coalesce(F.col("seq") < F.col("_purge"), F.lit(False))))
-        .select("profile_key", *fields)
-    )
+    return state.where(~(nameless & F.coalesce(F.col("seq") < purged, F.lit(False)))).select("profile_key", *fields)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import split_csv
-from pagemill.operators.staging import numbered
+from pagemill.operators.staging import broadcast_if_small, numbered
 
 DEFAULT_CATEGORY = 1
 
@@ -30,12 +30,8 @@ def get_or_create_terms(wanted: DataFrame, terms: DataFrame) -> tuple[DataFrame,
     missing = wanted.where(storable).select("taxonomy", "name").distinct().join(
         known, ["taxonomy", "name"], "left_anti"
     )
-    top = terms.agg(F.coalesce(F.max("term_id"), F.lit(0)).alias("_top"))
-    # the highest id is a single row
-    created = (
-        numbered(missing.join(F.broadcast(top)), ["taxonomy", "name"], F.col("_top"), "term_id")
-        .select("term_id", "name", "taxonomy")
-    )
+    top = terms.agg(F.coalesce(F.max("term_id"), F.lit(0)).alias("top")).scalar()
+    created = numbered(missing, ["taxonomy", "name"], top, "term_id").select("term_id", "name", "taxonomy")
     everything = known.select("term_id", "name", "taxonomy").unionByName(created)
     linked = (
         wanted.join(everything, ["taxonomy", "name"], "left")
@@ -50,6 +46,7 @@ def get_or_create_terms(wanted: DataFrame, terms: DataFrame) -> tuple[DataFrame,
 
 def assign_terms(posts: DataFrame, profile_terms: DataFrame) -> DataFrame:
     """Every post of a profile gets every term of it."""
-    return posts.select("profile_key", "post_id").join(
-        profile_terms.select("profile_key", "term_id").distinct(), "profile_key"
-    ).select("post_id", "term_id")
+    given = profile_terms.select("profile_key", "term_id").distinct()
+    return posts.select("profile_key", "post_id").join(broadcast_if_small(given), "profile_key").select(
+        "post_id", "term_id"
+    )

@@ -122,10 +122,9 @@ def import_run(
     if not live:
         return Imported(outcomes, errors)
 
-    top = posts.agg(F.coalesce(F.max("post_id"), F.lit(0)).alias("_top"))
-    # the highest id is a single row
-    created = decided.where(F.col("status") == "created").join(F.broadcast(top))
-    created = stage(numbered(created, ["profile_key", "url"], F.col("_top"), "post_id").drop("_top"), "created")
+    top = posts.agg(F.coalesce(F.max("post_id"), F.lit(0)).alias("top")).scalar()
+    created = numbered(decided.where(F.col("status") == "created"), ["profile_key", "url"], top, "post_id")
+    created = stage(created, "created")
     body = extracted.select("profile_key", "url", "content", "excerpt")
     css = broadcast_if_small(config.select("profile_key", "custom_css"), 20_000)
     full = created.join(body, ["profile_key", "url"]).join(css, "profile_key")

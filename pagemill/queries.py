@@ -987,9 +987,10 @@ def _terms(spark, sf):
     SELECT taxonomy, name, (SELECT max(term_id) FROM known) + 1 AS first_id, (SELECT max(term_id) + (SELECT count(*) FROM fresh) FROM known) AS last_id FROM fresh""")
 def _(spark, sf):
     _p, (_linked, created) = _terms(spark, sf)
-    ids = created.agg(F.min("term_id").alias("first_id"), F.max("term_id").alias("last_id"))
-    # one row: the id range
-    return created.select("taxonomy", "name").join(F.broadcast(ids))
+    return created.select(
+        "taxonomy", "name", created.agg(F.min("term_id")).scalar().alias("first_id"),
+        created.agg(F.max("term_id")).scalar().alias("last_id"),
+    )
 
 
 @query("terms_assigned", f"""WITH {TERMS_SQL} SELECT c.o_orderkey AS post_id, w.name AS term FROM orders c
