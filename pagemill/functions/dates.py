@@ -43,10 +43,13 @@ def to_zone(utc: Column, zone: Column | str) -> Column:
     return F.convert_timezone(F.lit("UTC"), zone, utc.cast(_NTZ))
 
 
+def _table(entries: dict[str, int]) -> Column:
+    return F.expr("map(" + ", ".join(f"'{k}', {v}" for k, v in entries.items()) + ")")
+
+
 def _month_number(name: Column) -> Column:
     names = {m: i for i, m in enumerate(MONTHS, 1)} | {m[:3]: i for i, m in enumerate(MONTHS, 1)} | {"sept": 9}
-    entries = [F.lit(x) for pair in names.items() for x in pair]
-    return F.try_element_at(F.create_map(*entries), F.lower(name))
+    return F.try_element_at(_table(names), F.lower(name))
 
 
 def _wall_clock(year: Column, month: Column, day: Column, hour: Column, minute: Column, second=None) -> Column:
@@ -88,12 +91,11 @@ def parse_month_date(c: Column | str) -> Column:
 
 
 def _offset_minutes(zone: Column) -> Column:
-    names = F.create_map(*[F.lit(x) for pair in ZONE_MINUTES.items() for x in pair])
     digits = F.regexp_replace(zone, r"[^0-9]", "")
     hours = F.substring(digits, 1, 2).try_cast("int")
     minutes = F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0))
     signed = (hours * 60 + minutes) * F.when(F.startswith(zone, F.lit("-")), -1).otherwise(1)
-    return F.coalesce(F.try_element_at(names, F.lower(zone)), signed, F.lit(0))
+    return F.coalesce(F.try_element_at(_table(ZONE_MINUTES), F.lower(zone)), signed, F.lit(0))
 
 
 def _zoned(text: Column, pattern: str, year: int, month: Column, day: int) -> Column:
@@ -114,7 +116,7 @@ def parse_general_date(c: Column | str, zone: Column | str, run_ts: Column) -> C
     midnight = F.date_trunc("day", run_ts).cast(_NTZ)
     one_day = F.make_dt_interval(F.lit(1))
     ago = r"(?i)^(\d{1,6}) (minute|hour|day|week)s? ago$"
-    unit = F.create_map(*[F.lit(x) for x in ("minute", 1, "hour", 60, "day", 1440, "week", 10080)])
+    unit = _table({"minute": 1, "hour": 60, "day": 1440, "week": 10080})
 
     def parse(text: Column) -> Column:
         low = F.lower(text)

@@ -107,18 +107,19 @@ def extract_fields(df: DataFrame, run_ts: Column, zone: str) -> DataFrame:
         F.coalesce(trim_words(php_trim("excerpt_text")), F.lit("")),
     ).otherwise(F.lit(""))
     image = F.when(has_content, F.coalesce(F.col("picked"), first_img_src("content")))
-    return (
-        dated.withColumn("post_date", F.coalesce("printed", "structured", to_zone(run_ts, zone)))
-        .withColumn(
-            "date_source",
-            F.when(F.col("printed").isNotNull(), F.lit("selector"))
-            .when(F.col("structured").isNotNull(), F.lit("jsonld"))
-            .otherwise(F.lit("run")),
-        )
-        .withColumn("source_timezone", F.when(F.col("date_source") == "jsonld", F.lit("ET")))
-        .withColumn("post_title", strip_tags("title"))
-        .withColumn("excerpt", excerpt)
-        .withColumn("image_url", resolve_link(image, "source_url"))
-        .withColumn("complete", is_present("title") & has_content)
-        .drop("printed", "structured", "scripts", "excerpt_text", "picked", "date_text")
+    source = (
+        F.when(F.col("printed").isNotNull(), F.lit("selector"))
+        .when(F.col("structured").isNotNull(), F.lit("jsonld"))
+        .otherwise(F.lit("run"))
     )
+    return dated.withColumns(
+        {
+            "post_date": F.coalesce("printed", "structured", to_zone(run_ts, zone)),
+            "date_source": source,
+            "source_timezone": F.when(source == "jsonld", F.lit("ET")),
+            "post_title": strip_tags("title"),
+            "excerpt": excerpt,
+            "image_url": resolve_link(image, "source_url"),
+            "complete": is_present("title") & has_content,
+        }
+    ).drop("printed", "structured", "scripts", "excerpt_text", "picked", "date_text")

@@ -11,6 +11,14 @@ from pagemill.functions.text import is_present
 from pagemill.functions.urls import normalize_url
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet table, at least one partition per core. Only a table that splits into
+    fewer pieces than there are cores is shuffled; a large one is read as it lies."""
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fetched_pages(pages: DataFrame) -> DataFrame:
     """A1: ``url, html`` of pages that came back with status 200 and a body. Tables
     without a ``status`` column hold successful fetches only."""
