@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 ID_BUCKETS = 1024
 
 
@@ -33,10 +34,12 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after counting; beyond ``rows`` a shuffle join is used."""
-    small = df.limit(rows + 1).count() <= rows
-    return F.broadcast(df) if small else df
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint only after counting rows and bytes; beyond either bound a shuffle
+    join is used."""
+    width = F.octet_length(F.to_json(F.struct(*df.columns)))
+    seen = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if seen["n"] <= rows and seen["bytes"] <= size else df
 
 
 def sum_before(df: DataFrame, keys: list[str], block: Column, order: list[str], value: Column, out: str) -> DataFrame:

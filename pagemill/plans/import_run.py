@@ -141,6 +141,25 @@ def import_run(
     )
 
 
+def import_in_turn(
+    keys: list[str], profile_table: DataFrame, pages: DataFrame, posts: DataFrame, post_meta: DataFrame,
+    term_table: DataFrame, attachments: DataFrame, run_ts: Column, **options,
+) -> list[Imported]:
+    """Live runs of the named profiles, one after the other: each sees the posts and
+    terms of those before it, as if they had been started in this order."""
+    results = []
+    for key in keys:
+        result = import_run(
+            profile_table.where(F.col("profile_key") == key), pages, posts, post_meta, term_table, attachments,
+            run_ts, live=True, **options,
+        )
+        posts = stage(posts.unionByName(result.posts.drop("profile_key", "thumbnail_id")), "posts")
+        post_meta = stage(post_meta.unionByName(result.post_meta), "post_meta")
+        term_table = stage(term_table.unionByName(result.new_terms), "terms")
+        results.append(result)
+    return results
+
+
 def write_run(result: Imported, folder: str) -> None:
     """Append a live run to the tables under ``folder``."""
     if result.posts is None:

@@ -1105,12 +1105,12 @@ def crawl(spark, sf):
         F.lit("//time").alias("date_xpath"), F.lit("//h1").alias("remove_xpaths"), F.lit("1000").alias("max_pages"),
         limit.alias("posts_per_batch"), F.lit("News, Web").alias("categories"), F.lit("crawl").alias("tags"),
     )
-    return hosts, found
+    return hosts, stage(found, "crawl")
 
 
 def crawl_history(spark, sf):
-    posts, meta = imported_posts(page_titles_df(spark, sf).withColumn("lang", F.lit("post")))
-    return posts, meta
+    titles = stage(page_titles_df(spark, sf).withColumn("lang", F.lit("post")), "history")
+    return imported_posts(titles)
 
 
 def crawl_sql(old: str, live: bool) -> str:
@@ -1215,7 +1215,12 @@ def _(spark, sf):
     """The crawl arrives as files, one unattended run takes what is there."""
     hosts, found = crawl(spark, sf)
     folder = f"{shared_folder(spark)}/crawl-{imports.uuid4().hex}"
-    found.withColumn("fetched_at", F.lit(None).cast("timestamp")).write.parquet(f"{folder}/pages")
+    # every page was fetched twice, the first time without success
+    again = F.inline(F.array(*[
+        F.struct(F.lit(t).cast("timestamp").alias("fetched_at"), (F.col("status") if ok else F.lit(500)).alias("status"))
+        for t, ok in (("2024-01-20 01:00:00", False), ("2024-01-20 02:00:00", True))
+    ]))
+    found.select("url", "html", again).select("url", "status", "html", "fetched_at").write.parquet(f"{folder}/pages")
     none = spark.createDataFrame([], profiles.S.ATTACHMENTS)
     done = imports.import_stream(
         imports.page_stream(spark, f"{folder}/pages", 1_000_000), stage(hosts, "hosts"), none, f"{folder}/out", f"{folder}/state", run_ts(),

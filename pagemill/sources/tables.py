@@ -19,6 +19,15 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def latest_fetch(pages: DataFrame) -> DataFrame:
+    """One row per URL: the last fetch, also when that one failed."""
+    kept = [c for c in pages.columns if c != "url"]
+    last = F.max_by(F.struct(*kept), F.col("fetched_at")).alias("last")
+    # fetches without a time come before all others
+    timed = pages.withColumn("fetched_at", F.coalesce("fetched_at", F.lit("1970-01-01").cast("timestamp")))
+    return timed.groupBy("url").agg(last).select("url", "last.*")
+
+
 def fetched_pages(pages: DataFrame) -> DataFrame:
     """A1: ``url, html`` of pages that came back with status 200 and a body. Tables
     without a ``status`` column hold successful fetches only."""

@@ -11,7 +11,9 @@ from pyspark.sql.streaming import DataStreamWriter
 from pagemill import schema as S
 from pagemill.functions.dates import is_today
 from pagemill.functions.urls import normalize_url
+from pagemill.operators.staging import stage
 from pagemill.plans.import_run import import_run
+from pagemill.sources.tables import latest_fetch
 
 
 def page_stream(spark: SparkSession, folder: str, files_per_batch: int = 64) -> DataFrame:
@@ -44,8 +46,9 @@ def import_stream(
             t: earlier_batches(spark, folder, t, ddl, batch_id)
             for t, ddl in (("posts", S.POSTS), ("post_meta", S.POST_META), ("terms", S.TERMS))
         }
+        arrived = stage(latest_fetch(batch), "arrived")
         result = import_run(
-            profiles, batch, known["posts"], known["post_meta"], known["terms"], attachments,
+            profiles, arrived, known["posts"], known["post_meta"], known["terms"], attachments,
             run_ts, zone, live=True, today_only=today_only,
         )
         written = {

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill import schema as S
-from pagemill.plans.import_run import import_run, write_run
+from pagemill.plans.import_run import import_in_turn, import_run, write_run
 from pagemill.sources import tables
 from pagemill.streaming import imports
 
@@ -118,6 +118,29 @@ def test_overrides_and_second_run(spark, world):
     assert ("s", "http://s.com/d") not in again
 
 
+def test_profiles_in_turn(spark, world):
+    """The later profile finds what the earlier one imported."""
+    first, second = import_in_turn(
+        ["s", "t"], world["profiles"], world["pages"], spark.createDataFrame([], S.POSTS), spark.createDataFrame([], S.POST_META),
+        world["terms"], world["attachments"], now(),
+    )
+    assert log(first)["s", "http://s.com/c"] == ("created", None)
+    assert log(second) == {
+        ("t", "http://s.com/c"): ("skipped", "Already imported"), ("t", "http://t.com/f"): ("created", None),
+    }
+    ids = [r.post_id for result in (first, second) for r in result.posts.collect()]
+    assert sorted(ids) == [1, 2, 3]
+
+
+def test_last_fetch_counts(spark):
+    df = spark.createDataFrame(
+        [("u", 200, "a", "2024-01-01"), ("u", 404, None, "2024-01-02"), ("v", 500, "", None), ("v", 200, "b", "2023-01-01")],
+        "url string, status int, html string, t string",
+    ).select("url", "status", "html", F.col("t").cast("timestamp").alias("fetched_at"))
+    assert {(r.url, r.status) for r in tables.latest_fetch(df).collect()} == {("u", 404), ("v", 200)}
+    assert [r.url for r in tables.fetched_pages(tables.latest_fetch(df)).collect()] == ["v"]
+
+
 def test_stream_in_two_triggers_equals_two_runs(spark, world):
     """Pages arrive in two files; the stream sees its own earlier posts and nothing twice."""
     folder = tempfile.mkdtemp(prefix="pagemill-test-")
