@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# fixed value: the characters the reference's host language trims
+# fixed value: the characters trimmed from page texts
 TRIM_CHARS = " \t\n\r\x00\x0b"
 
 
@@ -32,7 +32,7 @@ def bind(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*keep, F.inline(packed))
 
 
-def php_trim(c: Column | str) -> Column:
+def trim_text(c: Column | str) -> Column:
     return F.btrim(as_col(c), F.lit(TRIM_CHARS))
 
 
@@ -50,12 +50,12 @@ def to_int(c: Column | str) -> Column:
 
 def split_lines(c: Column | str) -> Column:
     """One entry per line, trimmed, absent ones dropped, order kept."""
-    return F.filter(F.transform(F.split(F.coalesce(as_col(c), F.lit("")), "\n"), php_trim), is_present)
+    return F.filter(F.transform(F.split(F.coalesce(as_col(c), F.lit("")), "\n"), trim_text), is_present)
 
 
 def split_csv(c: Column | str) -> Column:
     """Comma list, trimmed, absent ones dropped, order kept."""
-    return F.filter(F.transform(F.split(F.coalesce(as_col(c), F.lit("")), ","), php_trim), is_present)
+    return F.filter(F.transform(F.split(F.coalesce(as_col(c), F.lit("")), ","), trim_text), is_present)
 
 
 def collapse_space(c: Column | str) -> Column:
@@ -65,7 +65,7 @@ def collapse_space(c: Column | str) -> Column:
 def strip_tags(c: Column | str) -> Column:
     """Script and style elements go with their text, other tags alone; trimmed."""
     c = F.regexp_replace(as_col(c), r"(?is)<(script|style)\b[^>]*+>.*?</\1\s*+>", "")
-    return php_trim(F.regexp_replace(c, r"(?s)<!--.*?-->|</?[A-Za-z!?][^>]*+>", ""))
+    return trim_text(F.regexp_replace(c, r"(?s)<!--.*?-->|</?[A-Za-z!?][^>]*+>", ""))
 
 
 def trim_words(c: Column | str, count: int = 55, more: str = "...") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import as_col, is_present, last_segment, php_trim
+from pagemill.functions.text import as_col, is_present, last_segment, trim_text
 
 # fixed value: file extensions accepted as images
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "gif", "webp", "bmp", "svg")
@@ -23,7 +23,7 @@ def strip_trailing_slashes(c: Column | str) -> Column:
 
 def normalize_url(c: Column | str) -> Column:
     """Key under which an imported URL is remembered."""
-    return strip_trailing_slashes(ascii_lower(php_trim(c)))
+    return strip_trailing_slashes(ascii_lower(trim_text(c)))
 
 
 def site_root(url: Column | str) -> Column:

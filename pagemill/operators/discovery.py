@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.markup import parsed
 from pagemill.functions.selectors import matches
-from pagemill.functions.text import bind, php_trim
+from pagemill.functions.text import bind, trim_text
 from pagemill.functions.urls import build_page_url, normalize_url, resolve_link
 from pagemill.operators.staging import broadcast_if_small, sum_before
 
@@ -38,7 +38,7 @@ def page_links(parsed_pages: DataFrame, selector: str = "listing_selector") -> D
     found = F.expr(matches(selector, "doc.events", "doc.nodes"))
     hrefs = F.transform(
         found,
-        lambda n: resolve_link(php_trim(F.coalesce(F.try_element_at(n["attrs"], F.lit("href")), F.lit(""))), "source_url"),
+        lambda n: resolve_link(trim_text(F.coalesce(F.try_element_at(n["attrs"], F.lit("href")), F.lit(""))), "source_url"),
     )
     return parsed_pages.withColumn("links", F.array_distinct(F.filter(hrefs, lambda u: u.isNotNull())))
 

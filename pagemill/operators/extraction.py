@@ -10,7 +10,7 @@ from pagemill.functions.dates import date_or_now, jsonld_date, normalize_date_te
 from pagemill.functions.markup import parse_attrs, parsed, raw_tokens, text_between
 from pagemill.functions.selectors import first, matches, node_text
 from pagemill.functions.sqltext import let, quote
-from pagemill.functions.text import bind, is_present, php_trim, strip_tags, trim_words
+from pagemill.functions.text import bind, is_present, trim_text, strip_tags, trim_words
 from pagemill.functions.urls import ascii_lower, resolve_link
 
 EVENTS, NODES = "doc.events", "doc.nodes"
@@ -66,7 +66,7 @@ def first_img_src(content: str) -> Column:
 def gate_columns(df: DataFrame) -> DataFrame:
     """``gate`` is 'open', 'no match' or 'closed'; ``gate_text`` the text found."""
     active = F.col("gate_selector_set") & (F.size("content_gate_values") > 0)
-    bound = bind(df, gate_text=F.when(active, php_trim(first_text("gate_selector"))))
+    bound = bind(df, gate_text=F.when(active, trim_text(first_text("gate_selector"))))
     allowed = F.transform("content_gate_values", ascii_lower)
     return bound.withColumn(
         "gate",
@@ -86,7 +86,7 @@ def extract_fields(df: DataFrame, run_ts: Column, zone: str) -> DataFrame:
     date_text = normalize_date_text(first_text("date_selector"))
     raw = bind(
         gated,
-        title=F.when(is_open, php_trim(F.coalesce(first_text("title_selector"), F.lit("")))),
+        title=F.when(is_open, trim_text(F.coalesce(first_text("title_selector"), F.lit("")))),
         content=F.when(is_open, F.expr(C.clean_content(html))),
         date_text=F.when(is_open, date_text),
         scripts=F.when(is_open, jsonld_scripts()),
@@ -104,7 +104,7 @@ def extract_fields(df: DataFrame, run_ts: Column, zone: str) -> DataFrame:
     has_content = is_present("content")
     excerpt = F.when(
         F.col("excerpt_selector_set") | has_content,
-        F.coalesce(trim_words(php_trim("excerpt_text")), F.lit("")),
+        F.coalesce(trim_words(trim_text("excerpt_text")), F.lit("")),
     ).otherwise(F.lit(""))
     image = F.when(has_content, F.coalesce(F.col("picked"), first_img_src("content")))
     source = (

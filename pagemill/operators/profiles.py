@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from pagemill import schema as S
 from pagemill.functions.content import compiled_rules
 from pagemill.functions.selectors import compiled, is_valid
-from pagemill.functions.text import is_present, php_trim, split_lines, strip_tags, to_int
+from pagemill.functions.text import is_present, trim_text, split_lines, strip_tags, to_int
 from pagemill.functions.urls import ascii_lower, strip_trailing_slashes
 
 
@@ -45,7 +45,7 @@ def profile_sanitize(df: DataFrame) -> DataFrame:
     filled = profile_defaults(df)
     frequency = F.least(F.lit(24), F.greatest(F.lit(1), to_int("cron_frequency")))
     changed = {
-        "profile_name": php_trim(strip_tags("profile_name")),
+        "profile_name": trim_text(strip_tags("profile_name")),
         "post_type": slug("post_type"),
         "start_page": F.greatest(F.lit(1), to_int("start_page")),
         "max_pages": F.greatest(F.lit(1), to_int("max_pages")),

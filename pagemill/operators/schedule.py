@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from pagemill import schema as S
 from pagemill.functions.text import is_present, to_int
 
-# fixed values: seconds per period, hook prefix, fallback interval
+# fixed values: seconds per period, fallback interval; hooks carry the profile key after a prefix
 PERIOD_SECONDS = {"hour": 3600, "day": 86400, "week": 604800}
-HOOK_PREFIX = "dgd_scraper_cron_"
+HOOK_PREFIX = "import_profile_"
 DAY_SECONDS = 86400
 MAX_FREQUENCY = 24
 

@@ -104,7 +104,7 @@ def text_of(selector: str):
 def page_titles_df(spark: SparkSession, sf: str) -> DataFrame:
     lang = extraction.first_text(sel("/html/@lang"))
     return page_docs(spark, sf).select(
-        "page_id", "url", "host", lang.alias("lang"), T.php_trim(text_of("//h1")).alias("title")
+        "page_id", "url", "host", lang.alias("lang"), T.trim_text(text_of("//h1")).alias("title")
     )
 
 
@@ -598,7 +598,7 @@ def _(spark, sf):
 
 @query("page_titles", f"WITH {P} SELECT page_id, title FROM p")
 def _(spark, sf):
-    return page_docs(spark, sf).select("page_id", T.php_trim(text_of("//h1")).alias("title"))
+    return page_docs(spark, sf).select("page_id", T.trim_text(text_of("//h1")).alias("title"))
 
 
 @query("content_gate", rf"""WITH g AS (SELECT page_id, url, {LABEL} AS url_label,
@@ -668,7 +668,7 @@ def _(spark, sf):
     SELECT page_id, array_to_string(w[1:55], ' ') || CASE WHEN len(w) > 55 THEN '...' ELSE '' END AS excerpt FROM w""")
 def _(spark, sf):
     found = page_docs(spark, sf).select("page_id", extraction.long_paragraph().alias("t"))
-    return found.select("page_id", F.coalesce(T.trim_words(T.php_trim("t")), F.lit("")).alias("excerpt"))
+    return found.select("page_id", F.coalesce(T.trim_words(T.trim_text("t")), F.lit("")).alias("excerpt"))
 
 
 @query("trim_words", rf"""WITH t AS (SELECT doc_id, {trimmed(BARE.format("text"))} AS text FROM documents),
@@ -913,8 +913,8 @@ def page_items(spark, sf):
         "post_date": F.date_add(F.lit("2024-01-18").cast("date"), (F.length("html") % 3)).cast("timestamp_ntz"),
     })
     docs = extraction.bind_page(raw)
-    gate_text = T.php_trim(text_of("//nav//a"))
-    titled = T.bind(docs, gate_text=gate_text, title=T.php_trim(text_of("//h1")), lang=text_of("/html/@lang")).drop("doc")
+    gate_text = T.trim_text(text_of("//nav//a"))
+    titled = T.bind(docs, gate_text=gate_text, title=T.trim_text(text_of("//h1")), lang=text_of("/html/@lang")).drop("doc")
     items = titled.select(
         "page_id", "url", U.host_of("url").alias("profile_key"), F.floor(F.col("page_id") / 10).alias("page_no"),
         (F.col("page_id") % 10).cast("int").alias("link_pos"), F.col("lang").alias("post_type"), "fetched", "gate_text",
@@ -1025,13 +1025,13 @@ def _(spark, sf):
 
 
 SCHEDULE_SQL = f"""{CP}, ev AS (
-    SELECT 'dgd_scraper_cron_' || profile_key AS hook, CASE WHEN c_nationkey > 15 THEN 'daily' ELSE
+    SELECT 'import_profile_' || profile_key AS hook, CASE WHEN c_nationkey > 15 THEN 'daily' ELSE
         'every_' || least(24, greatest(1, cron_frequency::INT)) || '_per_' || CASE WHEN cron_period = 'month' THEN 'day' ELSE cron_period END END AS schedule,
         TIMESTAMP '2024-01-20 05:00:00' AS next_run FROM cp WHERE c_nationkey > 5
-    UNION ALL SELECT 'dgd_scraper_cron_gone-' || s_suppkey, 'daily', TIMESTAMP '2024-01-20 06:00:00' FROM supplier
+    UNION ALL SELECT 'import_profile_gone-' || s_suppkey, 'daily', TIMESTAMP '2024-01-20 06:00:00' FROM supplier
     UNION ALL SELECT 'other_' || s_suppkey, 'daily', TIMESTAMP '2024-01-20 06:00:00' FROM supplier),
-    own AS (SELECT * FROM ev WHERE hook LIKE 'dgd_scraper_cron_%'),
-    want AS (SELECT 'dgd_scraper_cron_' || profile_key AS hook, profile_key, cron_enabled = '1' AS enabled,
+    own AS (SELECT * FROM ev WHERE hook LIKE 'import_profile_%'),
+    want AS (SELECT 'import_profile_' || profile_key AS hook, profile_key, cron_enabled = '1' AS enabled,
         least(24, greatest(1, cron_frequency::INT)) AS f, CASE WHEN cron_period = 'month' THEN 'day' ELSE cron_period END AS p, cron_frequency, cron_period FROM cp)"""
 
 
@@ -1043,7 +1043,7 @@ def _schedule(spark, sf):
         F.lit("2024-01-20 05:00:00").cast("timestamp_ntz").alias("next_run"),
     )
     other = table(spark, sf, "supplier").select(
-        F.explode(F.array(F.lit("dgd_scraper_cron_gone-"), F.lit("other_"))).alias("h"), "s_suppkey"
+        F.explode(F.array(F.lit("import_profile_gone-"), F.lit("other_"))).alias("h"), "s_suppkey"
     ).select(
         F.concat("h", F.col("s_suppkey").cast("string")).alias("hook"), F.lit("daily").alias("schedule"),
         F.lit("2024-01-20 06:00:00").cast("timestamp_ntz").alias("next_run"),
