@@ -34,6 +34,9 @@ from pagemill.operators.staging import stage
 FAN_IN = 8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _RUN = "slot int, digest binary, n_bytes long, best_id long, best_uid long, n long"
+_SCHEMA = pa.schema(
+    [("slot", pa.int32()), ("digest", pa.binary())] + [(c, pa.int64()) for c in ("n_bytes", "best_id", "best_uid", "n")]
+)
 
 
 def normalized(text: str | Column) -> Column:
@@ -48,7 +51,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     The last group of a batch waits, as the next batch may go on with it."""
     held: pa.Table | None = None
     for batch in batches:
-        table = pa.Table.from_batches([batch])
+        table = pa.Table.from_arrays(batch.columns, schema=_SCHEMA)
         table = table if held is None else pa.concat_tables([held, table])
         if len(table) == 0:
             continue
@@ -65,7 +68,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         summed = total.cumsum()
         ends = np.append(first[1:], len(table)) - 1
         sums = summed[ends] - summed[first] + total[first]
-        out = table.take(pa.array(first)).set_column(5, "n", pa.array(sums, pa.int64()))
+        out = table.take(pa.array(first))
+        out = pa.Table.from_arrays([*out.columns[:5], pa.array(sums, pa.int64())], schema=_SCHEMA)
         held = out.slice(len(out) - 1)
         yield from out.slice(0, len(out) - 1).to_batches()
     if held is not None:
