@@ -90,7 +90,7 @@ def merged_runs(rows: DataFrame, keep: str, fan_in: int = FAN_IN) -> DataFrame:
         F.col("uid").alias("best_uid"), F.lit(1).cast("long").alias("n"),
     ).sortWithinPartitions(*order).mapInArrow(_merge, _RUN)
     # digits of the digest that choose the partner, and the digits they replace in the slot
-    share = F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("long")
+    share = F.conv(F.hex(F.substring("digest", 1, 6)), 16, 10).cast("long")  # exact as a double
     for r in range(rounds):
         weight = fan_in**r
         digit = F.pmod(F.floor(share / weight), F.lit(fan_in))

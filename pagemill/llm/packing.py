@@ -36,7 +36,7 @@ from pyspark.sql.window import Window
 from pagemill.operators.staging import stage
 
 CAPACITY = 2048
-UNIT = 8
+UNIT = 16
 END_ID = 1
 VOCABULARY = "byte_bpe_50k"
 BUCKETS = 256
@@ -153,7 +153,7 @@ def _best_pattern(value: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     return float(best[room]), counts
 
 
-def cutting_stock(demand: np.ndarray, room: int, gap: float = 0.0005, rounds: int = 4000) -> list[tuple[np.ndarray, int]]:
+def cutting_stock(demand: np.ndarray, room: int, gap: float = 0.002, rounds: int = 3000) -> list[tuple[np.ndarray, int]]:
     """Patterns and how often to use each, covering ``demand[i]`` items of size ``i + 1``.
 
     Columns enter until the program is within ``gap`` of its optimum: the value of the

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.common import documents
 from pagemill.llm.exact_dedup import exact_duplicates
+from pagemill.llm.packing import pack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -35,3 +36,8 @@ NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijk
 )
 def _(spark, sf):
     return exact_duplicates(documents(spark, sf))
+
+
+@query("op9_packing")
+def _(spark, sf):
+    return pack(documents(spark, sf))
