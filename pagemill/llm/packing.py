@@ -165,7 +165,7 @@ def cutting_stock(demand: np.ndarray, room: int, gap: float = 0.002, rounds: int
         basis = np.diag((room // (sizes + 1)).astype(float))  # columns: one-class patterns
         inverse = np.diag(1.0 / np.diag(basis))
         wanted = demand[sizes].astype(float)
-        use = inverse @ wanted
+        use = (inverse * wanted).sum(axis=1)  # elementwise: small products gain nothing from threads
         for step in range(rounds):
             price = inverse.sum(axis=0)
             value = np.zeros(len(demand))
@@ -174,17 +174,17 @@ def cutting_stock(demand: np.ndarray, room: int, gap: float = 0.002, rounds: int
             if gain <= 1 + gap:
                 break
             column = counts[sizes].astype(float)
-            change = inverse @ column
+            change = (inverse * column).sum(axis=1)
             ratio = np.where(change > 1e-9, use / np.where(change > 1e-9, change, 1), np.inf)
             out = int(ratio.argmin())
             basis[:, out] = column
-            if step % 50 == 49:  # against rounding errors
+            if step % 200 == 199:  # against rounding errors
                 inverse = np.linalg.inv(basis)
             else:
                 row = inverse[out] / change[out]
                 inverse = inverse - np.outer(change, row)
                 inverse[out] = row
-            use = np.maximum(inverse @ wanted, 0)
+            use = np.maximum((inverse * wanted).sum(axis=1), 0)
         for j, x in enumerate(np.floor(use + 1e-9).astype(np.int64)):
             counts = np.zeros(len(demand), np.int64)
             counts[sizes] = basis[:, j].astype(np.int64)
