@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.common import documents
 from pagemill.llm.exact_dedup import exact_duplicates
+from pagemill.llm.language import identify
 from pagemill.llm.packing import pack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +42,8 @@ def _(spark, sf):
 @query("op9_packing")
 def _(spark, sf):
     return pack(documents(spark, sf))
+
+
+@query("op1_language")
+def _(spark, sf):
+    return identify(documents(spark, sf))
