@@ -11,6 +11,7 @@ from pagemill.llm.common import documents
 from pagemill.llm.exact_dedup import exact_duplicates
 from pagemill.llm.language import identify
 from pagemill.llm.packing import pack
+from pagemill.llm.quality import quality
 from pagemill.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +54,8 @@ def _(spark, sf):
 @query("op6_toxicity")
 def _(spark, sf):
     return toxicity(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
+@query("op3_quality")
+def _(spark, sf):
+    return quality(documents(spark, sf))
