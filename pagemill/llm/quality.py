@@ -31,6 +31,7 @@ BITS = 11
 SAMPLE = 6000
 THRESHOLD = 0.5
 RIDGE = 1e-4
+DOUBT = 0.2
 LABELLERS = ("repeated_words", "repeated_lines", "capitals", "signs", "tables", "stutter", "word_length", "prose")
 BASE_RATE = 0.1  # where EM starts, and the class it calls bad
 
@@ -70,7 +71,8 @@ def measures(text: str | None, shape: bool = True) -> tuple[list[int], np.ndarra
         n >= 10 and stutter > 0.2,
         n >= 5 and (size < 2 or size > 15),
     )
-    prose = n > 0 and not any(bad) and not bars and stutter < 0.02 and share[6] < 0.01 and letters > 0.5 and share[1] < 0.3 * letters
+    few_repeats = stutter * (n - 1) <= 3 + 0.03 * n
+    prose = n > 0 and not any(bad) and not bars and few_repeats and share[6] < 0.02 and share[1] < 0.35 * letters
     votes = [*map(int, bad), -int(prose)]
     if not shape:
         return votes, None
@@ -111,7 +113,9 @@ class Labels:
         votes = _votes(pattern) + 1
         logs = np.log(self.chance)[:, np.arange(len(LABELLERS)), votes].sum(axis=2)
         logs += np.log([1 - self.bad, self.bad])[:, None]
-        return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -60, 60)))
+        bad = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -60, 60)))
+        # nobody's silence condemns: without a single bad vote a text is at most doubtful
+        return np.where((votes == 2).any(axis=1), bad, np.minimum(bad, DOUBT))
 
 
 def estimate(pattern: np.ndarray, n: np.ndarray, rounds: int = 200) -> Labels:

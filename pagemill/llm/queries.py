@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.common import documents
 from pagemill.llm.exact_dedup import exact_duplicates
+from pagemill.llm.fingerprints import compare_edited
 from pagemill.llm.language import identify
 from pagemill.llm.packing import pack
 from pagemill.llm.quality import quality
@@ -59,3 +60,8 @@ def _(spark, sf):
 @query("op3_quality")
 def _(spark, sf):
     return quality(documents(spark, sf))
+
+
+@query("op7_fingerprints")
+def _(spark, sf):
+    return compare_edited(documents(spark, sf))
