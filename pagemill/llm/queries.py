@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import documents
 from pagemill.llm.exact_dedup import exact_duplicates
 from pagemill.llm.fingerprints import compare_edited
+from pagemill.llm.jaccard_join import near_duplicates
 from pagemill.llm.language import identify
 from pagemill.llm.packing import pack
 from pagemill.llm.quality import quality
@@ -65,3 +66,8 @@ def _(spark, sf):
 @query("op7_fingerprints")
 def _(spark, sf):
     return compare_edited(documents(spark, sf))
+
+
+@query("op5_jaccard_join")
+def _(spark, sf):
+    return near_duplicates(documents(spark, sf)).drop("uid")
