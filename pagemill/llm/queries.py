@@ -12,6 +12,7 @@ from pagemill.llm.exact_dedup import exact_duplicates
 from pagemill.llm.fingerprints import compare_edited
 from pagemill.llm.jaccard_join import near_duplicates
 from pagemill.llm.language import identify
+from pagemill.llm.mixing import mixing_rates
 from pagemill.llm.packing import pack
 from pagemill.llm.quality import quality
 from pagemill.llm.toxicity import toxicity
@@ -71,3 +72,8 @@ def _(spark, sf):
 @query("op5_jaccard_join")
 def _(spark, sf):
     return near_duplicates(documents(spark, sf)).drop("uid")
+
+
+@query("op10_mixing")
+def _(spark, sf):
+    return mixing_rates(documents(spark, sf))
