@@ -14,6 +14,7 @@ from pagemill.llm.jaccard_join import near_duplicates
 from pagemill.llm.language import identify
 from pagemill.llm.mixing import mixing_rates
 from pagemill.llm.packing import pack
+from pagemill.llm.pii import personal_data
 from pagemill.llm.quality import quality
 from pagemill.llm.toxicity import toxicity
 
@@ -77,3 +78,8 @@ def _(spark, sf):
 @query("op10_mixing")
 def _(spark, sf):
     return mixing_rates(documents(spark, sf))
+
+
+@query("op2_pii")
+def _(spark, sf):
+    return personal_data(documents(spark, sf))
