@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.llm.backoff import score_documents
 from pagemill.llm.common import documents
 from pagemill.llm.exact_dedup import exact_duplicates
 from pagemill.llm.fingerprints import compare_edited
@@ -83,3 +84,8 @@ def _(spark, sf):
 @query("op2_pii")
 def _(spark, sf):
     return personal_data(documents(spark, sf))
+
+
+@query("op8_katz_backoff")
+def _(spark, sf):
+    return score_documents(documents(spark, sf))
