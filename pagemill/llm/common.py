@@ -30,6 +30,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def read_back(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a written table, columns in their order."""
+    return stage(df, name)
+
+
 def drop_stage(df: DataFrame) -> None:
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         drop_path(df.sparkSession, path)
