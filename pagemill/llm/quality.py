@@ -233,5 +233,8 @@ def good_documents(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` that the scorer keeps, with all their columns."""
     columns = docs.columns
     held = docs.select(*columns, F.struct(*columns).alias("_row"))
-    kept = quality(held.select("_row", "text"), fit(docs), keep=("_row",)).where("kept")
+    model = fit(docs)
+    if model is None:  # no rows
+        return docs
+    kept = quality(held.select("_row", "text"), model, keep=("_row",)).where("kept")
     return kept.select("_row.*")
