@@ -18,7 +18,7 @@ from __future__ import annotations
 from pagemill.functions.markup import text_between
 from pagemill.functions.sqltext import let, quote
 
-_NAME = r"[A-Za-z_][\w.:-]*"
+_NAME = r"[A-Za-z_][\w.-]*(?::(?!:)[\w.-]+)*"
 _STRING = r"""(?:"[^"]*"|'[^']*')"""
 _SUBJECT = rf"(?:@{_NAME}|\.|text\(\))"
 _CONDITION = (

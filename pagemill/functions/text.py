@@ -43,9 +43,13 @@ def is_present(c: Column | str) -> Column:
 
 
 def to_int(c: Column | str) -> Column:
-    """Leading integer of a text, 0 when there is none."""
+    """Leading integer of a text, 0 when there is none; beyond the range of int, its end."""
     digits = F.regexp_extract(as_col(c).cast("string"), r"^\s*([+-]?\d+)", 1)
-    return F.coalesce(digits.try_cast("int"), F.lit(0))
+    value = digits.try_cast("decimal(38,0)")
+    inside = F.greatest(F.lit(-(2**31)), F.least(F.lit(2**31 - 1), value))
+    end = F.when(F.startswith(digits, F.lit("-")), -(2**31)).otherwise(2**31 - 1)
+    found = F.when(value.isNotNull(), inside).when(digits != "", end)
+    return F.coalesce(found, F.lit(0)).cast("int")
 
 
 def split_lines(c: Column | str) -> Column:

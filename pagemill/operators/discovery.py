@@ -20,18 +20,36 @@ def page_sequence(config: DataFrame) -> DataFrame:
     Page ranges are cut into blocks and spread before they are unrolled, so a profile
     with most of the pages is not unrolled by one task.
     """
-    narrow = config.select("profile_key", "source_url", "page_param", "listing_selector", "start_page", "max_pages")
-    last = F.col("start_page") + F.col("max_pages") - 1
-    firsts = F.sequence(F.col("start_page"), last, F.lit(PAGES_PER_BLOCK))
+    narrow = config.select(
+        "profile_key", "source_url", "page_param", "listing_selector",
+        F.col("start_page").cast("bigint").alias("start_page"), F.col("max_pages").cast("bigint").alias("max_pages"),
+    )
+    last = F.least(F.col("start_page") + F.col("max_pages") - 1, F.lit(2**31 - 1))  # page numbers are int
+    firsts = F.sequence(F.col("start_page"), last, F.lit(PAGES_PER_BLOCK).cast("bigint"))
     blocks = narrow.withColumn("last_page", last).withColumn("first_page", F.explode(firsts))
     pages = F.sequence("first_page", F.least(F.col("last_page"), F.col("first_page") + PAGES_PER_BLOCK - 1))
     return (
         blocks.repartition("profile_key", "first_page")
         .select("profile_key", "source_url", "page_param", "listing_selector", F.explode(pages).alias("page_no"))
+        .withColumn("page_no", F.col("page_no").cast("int"))
         .withColumn("page_url", build_page_url("source_url", "page_param", "page_no"))
     )
 
 
+def within_crawl(config: DataFrame, pages: DataFrame) -> DataFrame:
+    """``config`` with ``max_pages`` no further than one page past what was crawled of the
+    profile's site: a run of listing pages without a gap cannot be longer."""
+    site = lambda c: F.regexp_extract(c, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0)
+    crawled = pages.select(site(F.col("url")).alias("_site")).groupBy("_site").agg(F.count("*").alias("_crawled"))
+    bound = F.coalesce("_crawled", F.lit(0)) + 1
+    return (
+        config.withColumn("_site", F.coalesce(site(F.col("source_url")), F.lit("")))
+        .join(crawled, "_site", "left")
+        .withColumn("max_pages", F.least(F.col("max_pages").cast("bigint"), bound))
+        .drop("_site", "_crawled")
+    )
+
+
 def page_links(parsed_pages: DataFrame, selector: str = "listing_selector") -> DataFrame:
     """Column ``links``, absolute and distinct in first-seen order, of pages
     bound as ``doc``."""
@@ -49,8 +67,13 @@ def listing_links(requests: DataFrame, fetched: DataFrame) -> DataFrame:
     Requests are the small side, so they go to the pages and not the other way round:
     no page body is shuffled while the requests pass the size check.
     """
-    wanted = requests.select("profile_key", "page_no", "page_url", "source_url", "listing_selector")
-    found = fetched.join(broadcast_if_small(wanted), fetched["url"] == wanted["page_url"]).drop("url", "page_url")
+    by_fetch = "fetch" in requests.columns and "fetch" in fetched.columns
+    extra = ["fetch"] if by_fetch else []
+    wanted = requests.select("profile_key", "page_no", "page_url", "source_url", "listing_selector", *extra)
+    same = fetched["url"] == wanted["page_url"]
+    if by_fetch:
+        same = same & (fetched["fetch"] == wanted["fetch"])
+    found = fetched.join(broadcast_if_small(wanted), same).drop("url", "page_url", "fetch")
     doc = bind(found, doc=F.expr(parsed("html"))).drop("html")
     return page_links(doc).select("profile_key", "page_no", "links")
 

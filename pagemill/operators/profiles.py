@@ -156,9 +156,19 @@ def apply_profile_changes(profiles: DataFrame, changes: DataFrame, epoch: Column
     edited key only when that was a temporary ``new-`` key; ``copy`` adds a second
     profile; ``delete`` drops one; ``purge`` drops rows without a usable name. The
     last change of a key wins; copies are taken from the table before the batch.
+    Rows no change names stay as stored, absent fields too. Keys made from the
+    time are numbered from the second in a batch on, so that none is lost.
     """
     fields = list(S.PROFILE_DEFAULTS)
-    base = profile_defaults(profiles)
+    base = profiles.select("profile_key", *[_field(profiles, f).alias(f) for f in fields])
+    turn = F.row_number().over(Window.partitionBy("profile_key", "_made").orderBy("seq"))
+
+    def told_apart(df: DataFrame, made: Column) -> DataFrame:
+        numbered = df.withColumn("_made", made).withColumn("_turn", turn)
+        again = F.col("_made") & (F.col("_turn") > 1)
+        key = F.when(again, F.concat("profile_key", F.lit("-"), F.col("_turn").cast("string"))).otherwise(F.col("profile_key"))
+        return numbered.withColumn("profile_key", key).drop("_made", "_turn")
+
     ups = changes.where(F.col("op") == "upsert")
     written = profile_sanitize(
         ups.select(F.concat_ws("\x01", F.col("seq").cast("string"), "profile_key").alias("profile_key"), "profile.*")
@@ -168,18 +178,20 @@ def apply_profile_changes(profiles: DataFrame, changes: DataFrame, epoch: Column
         .withColumn("edited", F.split_part("profile_key", F.lit("\x01"), F.lit(2)))
         .withColumn("profile_key", profile_key("profile_name", epoch))
     )
+    upserts = told_apart(upserts, ~is_present(slug("profile_name")))
     temporary = upserts.where(F.startswith("edited", F.lit("new-")) & (F.col("edited") != F.col("profile_key"))).select(
         "seq", F.col("edited").alias("profile_key")
     )
     deletes = changes.where(F.col("op") == "delete").select("seq", "profile_key").unionByName(temporary)
     copies = (
         changes.where(F.col("op") == "copy").select("seq", "profile_key").join(base, "profile_key")
-        .withColumn("profile_name", F.concat("profile_name", F.lit(" (Copy)")))
+        .withColumn("profile_name", F.concat(F.coalesce("profile_name", F.lit(S.PROFILE_DEFAULTS["profile_name"])), F.lit(" (Copy)")))
         .withColumn(
             "profile_key",
             slug(F.concat("profile_name", F.lit("-"), epoch.cast("bigint").cast("string"))),
         )
     )
+    copies = told_apart(copies, F.lit(True))
     everything = (
         base.withColumn("seq", F.lit(-1).cast("bigint")).withColumn("gone", F.lit(False))
         .unionByName(upserts.drop("edited").withColumn("gone", F.lit(False)))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,14 +17,17 @@ ID_BUCKETS = 1024
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder the cluster names for checkpoints; an own one only where none is named."""
+    """Folder the cluster names for checkpoints. Without one, executors on other machines
+    could not read what they write, so that is an error unless Spark runs in one process."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = getattr(sc, "_pagemill_folder", None)
-        if not folder:
-            folder = sc._pagemill_folder = tempfile.mkdtemp(prefix="pagemill-")
-    return folder
+    return folder or own_folder(sc.master, sc.applicationId)
+
+
+def own_folder(master: str, application: str) -> str:
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
+    return str(Path(tempfile.gettempdir()) / f"pagemill-{application}")
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -24,10 +24,9 @@ def wanted_terms(config: DataFrame) -> DataFrame:
 
 def get_or_create_terms(wanted: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(profile terms with ids, terms to add)``. New ids follow the highest
-    known one. A name too long to store gives the default category, or no tag."""
+    known one, whatever a name's length."""
     known = terms.groupBy("taxonomy", "name").agg(F.min("term_id").alias("term_id"))
-    storable = F.length("name") <= 200
-    missing = wanted.where(storable).select("taxonomy", "name").distinct().join(
+    missing = wanted.select("taxonomy", "name").distinct().join(
         known, ["taxonomy", "name"], "left_anti"
     )
     top = terms.agg(F.coalesce(F.max("term_id"), F.lit(0)).alias("top")).scalar()

@@ -20,7 +20,7 @@ _SELECTORS = (
 )
 _NARROW = (
     "profile_key", "url", "page_no", "link_pos", "fetched", "gate", "gate_text", "title", "post_title",
-    "post_date", "date_source", "source_timezone", "image_url", "complete",
+    "post_date", "date_source", "source_timezone", "image_url", "complete", "item_row",
 )
 
 
@@ -42,10 +42,14 @@ class Imported:
         return report.item_log(self.outcomes)
 
 
-def discover(config: DataFrame, pages: DataFrame, imported: DataFrame) -> tuple[DataFrame, DataFrame]:
+def discover(config: DataFrame, pages: DataFrame, last: DataFrame, imported: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(candidates, imported skips)``; each listing page is parsed once."""
-    requests = discovery.page_sequence(config)
-    listing = stage(discovery.listing_links(requests, tables.fetched_pages(pages)), "listing")
+    requests = discovery.page_sequence(discovery.within_crawl(config, last))
+    fetched = tables.fetched_pages(pages.withColumn("fetch", tables.fetch_key(pages)))
+    known = requests.join(last.withColumnRenamed("url", "page_url"), "page_url")
+    found = discovery.listing_links(known, fetched)
+    # a fetch that was stored twice is one page
+    listing = stage(found.groupBy("profile_key", "page_no").agg(F.max("links").alias("links")), "listing")
     reached = discovery.prefix_until_gap(requests, listing)
     marked = stage(
         discovery.mark_imported(discovery.exploded_links(reached), config, imported), "links"
@@ -54,18 +58,32 @@ def discover(config: DataFrame, pages: DataFrame, imported: DataFrame) -> tuple[
     return discovery.candidates(kept), discovery.imported_skips(kept)
 
 
-def extract_items(found: DataFrame, config: DataFrame, pages: DataFrame, run_ts: Column, zone: str) -> DataFrame:
-    """A2, E: fields of every candidate page, one row per profile and URL.
+def extract_items(
+    found: DataFrame, config: DataFrame, pages: DataFrame, last: DataFrame, run_ts: Column, zone: str
+) -> DataFrame:
+    """A2, E: fields of every candidate page as it was last fetched. A fetch stored twice
+    gives two rows, told apart by ``item_row``.
 
     Candidates and settings are joined to the pages, not pages to them: while they
     pass the size check the bodies stay where they were read. Only when they do not
     is the join a shuffle, and on tables from ``write_pages`` not even then.
     """
     settings = broadcast_if_small(config.select("profile_key", *_SELECTORS), 20_000)
-    narrow = found.select("profile_key", "url", "page_no", "link_pos")
-    bodies = tables.fetched_pages(pages).join(broadcast_if_small(narrow), "url")
+    narrow = found.select("profile_key", "url", "page_no", "link_pos").join(last, "url")
+    fetched = tables.fetched_pages(pages.withColumn("fetch", tables.fetch_key(pages)))
+    bodies = fetched.join(broadcast_if_small(narrow), ["url", "fetch"]).drop("fetch")
     article = extraction.bind_page(bodies.join(settings, "profile_key"))
-    return extraction.extract_fields(article, run_ts, zone).withColumn("fetched", F.lit(True))
+    return extraction.extract_fields(article, run_ts, zone).withColumns(
+        {"fetched": F.lit(True), "item_row": F.monotonically_increasing_id()}
+    )
+
+
+def one_item_each(items: DataFrame) -> DataFrame:
+    """One row per profile and URL of written ``items``, chosen by a hash of the fields;
+    content stays behind."""
+    pick = F.min(F.struct(F.xxhash64("title", "content", "excerpt", "post_date"), "item_row"))["item_row"]
+    chosen = items.groupBy("profile_key", "url").agg(pick.alias("item_row"))
+    return items.select(*_NARROW).join(chosen, ["profile_key", "url", "item_row"])
 
 
 def with_failures(found: DataFrame, items: DataFrame) -> DataFrame:
@@ -106,10 +124,11 @@ def import_run(
     config = stage(
         profiles.profile_effective(checked.where(F.size("errors") == 0).drop("errors"), overrides), "config"
     )
-    found, skipped = discover(config, pages, tables.imported_urls(posts, post_meta))
+    last = stage(tables.last_fetches(pages), "fetches")
+    found, skipped = discover(config, pages, last, tables.imported_urls(posts, post_meta))
     found = stage(found, "candidates")
-    extracted = stage(extract_items(found, config, pages, run_ts, zone), "items")
-    items = with_failures(found, extracted)
+    extracted = stage(extract_items(found, config, pages, last, run_ts, zone), "items")
+    items = with_failures(found, one_item_each(extracted))
     decided = stage(
         decide(items, config, tables.imported_titles(posts), attachments, run_ts, zone, live, today_only), "decided"
     )
@@ -125,9 +144,9 @@ def import_run(
     top = posts.agg(F.coalesce(F.max("post_id"), F.lit(0)).alias("top")).scalar()
     created = numbered(decided.where(F.col("status") == "created"), ["profile_key", "url"], top, "post_id")
     created = stage(created, "created")
-    body = extracted.select("profile_key", "url", "content", "excerpt")
+    body = extracted.select("profile_key", "url", "item_row", "content", "excerpt")
     css = broadcast_if_small(config.select("profile_key", "custom_css"), 20_000)
-    full = created.join(body, ["profile_key", "url"]).join(css, "profile_key")
+    full = created.join(body, ["profile_key", "url", "item_row"]).join(css, "profile_key")
     new_posts = full.select(
         "post_id", "post_type", "post_title",
         F.expr(prefix_css("custom_css", "content")).alias("post_content"),
@@ -153,18 +172,20 @@ def import_in_turn(
             profile_table.where(F.col("profile_key") == key), pages, posts, post_meta, term_table, attachments,
             run_ts, live=True, **options,
         )
-        posts = stage(posts.unionByName(result.posts.drop("profile_key", "thumbnail_id")), "posts")
-        post_meta = stage(post_meta.unionByName(result.post_meta), "post_meta")
-        term_table = stage(term_table.unionByName(result.new_terms), "terms")
+        # only what is new is written
+        posts = posts.unionByName(stage(result.posts.drop("profile_key", "thumbnail_id"), "posts"))
+        post_meta = post_meta.unionByName(stage(result.post_meta, "post_meta"))
+        term_table = term_table.unionByName(stage(result.new_terms, "terms"))
         results.append(result)
     return results
 
 
 def write_run(result: Imported, folder: str) -> None:
-    """Append a live run to the tables under ``folder``."""
+    """Append a live run to the tables under ``folder``."""
     if result.posts is None:
         return
+    tables.append(result.outcomes, f"{folder}/outcomes")
     tables.append(result.posts.drop("profile_key", "thumbnail_id"), f"{folder}/posts")
-    tables.append(result.post_meta, f"{folder}/post_meta")
+    tables.append(result.post_meta.unionByName(tables.thumbnail_rows(result.posts)), f"{folder}/post_meta")
     tables.append(result.new_terms, f"{folder}/terms")
     tables.append(result.post_terms, f"{folder}/post_terms")

@@ -1161,6 +1161,26 @@ def _(spark, sf):
     )
 
 
+@query("import_refetched", f"""WITH {crawl_sql(OLD_PAGES, True)}, n AS (SELECT count(*) AS n FROM res WHERE status = 'created')
+    SELECT profile_key, url, title, status, reason, n AS n_ids, n AS n_posts FROM res, n""")
+def _(spark, sf):
+    """Every page is there four times: stale, failed and twice as it is."""
+    hosts, found = crawl(spark, sf)
+    posts, meta = crawl_history(spark, sf)
+    fetches = F.inline(F.array(*[
+        F.struct(F.lit(t).cast("timestamp").alias("fetched_at"), status.alias("status"), html.alias("html"))
+        for t, status, html in (
+            ("2024-01-20 00:00:00", F.lit(200), F.lit("<h1>stale</h1>")), ("2024-01-20 01:00:00", F.lit(500), F.lit("")),
+            ("2024-01-20 02:00:00", F.col("status"), F.col("html")), ("2024-01-20 02:00:00", F.col("status"), F.col("html")),
+        )
+    ]))
+    pages = stage(found.select("url", fetches), "fetches")
+    empty = {t: spark.createDataFrame([], ddl) for t, ddl in (("terms", profiles.S.TERMS), ("attachments", profiles.S.ATTACHMENTS))}
+    run = import_run(hosts, pages, posts, meta, empty["terms"], empty["attachments"], run_ts(), live=True)
+    n = run.posts.agg(F.countDistinct("post_id").alias("n_ids"), F.count("*").alias("n_posts"))
+    return run.outcomes.select("profile_key", "url", "title", "status", "reason").crossJoin(F.broadcast(n))
+
+
 # ---- streams -------------------------------------------------------------------
 
 
@@ -1223,7 +1243,27 @@ def _(spark, sf):
     found.select("url", "html", again).select("url", "status", "html", "fetched_at").write.parquet(f"{folder}/pages")
     none = spark.createDataFrame([], profiles.S.ATTACHMENTS)
     done = imports.import_stream(
-        imports.page_stream(spark, f"{folder}/pages", 1_000_000), stage(hosts, "hosts"), none, f"{folder}/out", f"{folder}/state", run_ts(),
+        imports.page_stream(spark, f"{folder}/pages"), stage(hosts, "hosts"), none, f"{folder}/out", f"{folder}/state", run_ts(),
     ).start()
     done.awaitTermination()
     return spark.read.parquet(f"{folder}/out/outcomes").select("profile_key", "url", "title", "status", "reason")
+
+
+@query("stream_import_split", f"WITH {crawl_sql(NO_PAGES, True)} SELECT profile_key, title AS post_title FROM res WHERE status = 'created'")
+def _(spark, sf):
+    """Listing pages arrive first, the articles they name in a later trigger."""
+    hosts, found = crawl(spark, sf)
+    hosts = stage(hosts, "hosts")
+    folder = f"{shared_folder(spark)}/crawl-{imports.uuid4().hex}"
+    none = spark.createDataFrame([], profiles.S.ATTACHMENTS)
+    listing = F.startswith("html", F.lit("<ul>"))
+    for some in (listing, ~listing):
+        rows = found.where(some).withColumn("fetched_at", F.lit("2024-01-20 02:00:00").cast("timestamp"))
+        rows.select("url", "status", "html", "fetched_at").write.mode("append").parquet(f"{folder}/pages")
+        imports.import_stream(
+            imports.page_stream(spark, f"{folder}/pages"), hosts, none, f"{folder}/out", f"{folder}/state", run_ts(), today_only=False,
+        ).start().awaitTermination()
+    key = spark.read.parquet(f"{folder}/out/post_meta").where("meta_key = 'source_url'").select(
+        "post_id", U.host_of("meta_value").alias("profile_key")
+    )
+    return spark.read.parquet(f"{folder}/out/posts").join(key, "post_id").select("profile_key", "post_title")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pagemill import schema as S
 from pagemill.functions.dates import to_zone
@@ -19,22 +20,39 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def fetch_key(pages: DataFrame) -> Column:
+    """Orders the fetches of a URL: by time (none comes first), then successful ones last."""
+    at = F.col("fetched_at") if "fetched_at" in pages.columns else F.lit(None).cast("timestamp")
+    status = F.col("status") if "status" in pages.columns else F.lit(200)
+    status = F.coalesce(status.cast("int"), F.lit(0))
+    return F.struct(
+        F.coalesce(at, F.lit("1970-01-01").cast("timestamp")).alias("at"), (status == 200).alias("ok"), status.alias("status")
+    )
+
+
+def last_fetches(pages: DataFrame) -> DataFrame:
+    """``url, fetch``: the last fetch of each URL, also when that one failed. Narrow: no
+    body is read."""
+    return pages.groupBy("url").agg(F.max(fetch_key(pages)).alias("fetch"))
+
+
 def latest_fetch(pages: DataFrame) -> DataFrame:
-    """One row per URL: the last fetch, also when that one failed."""
-    kept = [c for c in pages.columns if c != "url"]
-    last = F.max_by(F.struct(*kept), F.col("fetched_at")).alias("last")
-    # fetches without a time come before all others
-    timed = pages.withColumn("fetched_at", F.coalesce("fetched_at", F.lit("1970-01-01").cast("timestamp")))
-    return timed.groupBy("url").agg(last).select("url", "last.*")
+    """One row per URL: the last fetch; of fetches alike in time and status the one whose
+    body has the smallest hash."""
+    keyed = pages.withColumn("fetch", fetch_key(pages))
+    body = F.struct(F.xxhash64("html").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    tied = keyed.join(last_fetches(pages), ["url", "fetch"], "left_semi").withColumn("_tie", body)
+    first = Window.partitionBy("url").orderBy("_tie")
+    return tied.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*pages.columns)
 
 
 def fetched_pages(pages: DataFrame) -> DataFrame:
     """A1: ``url, html`` of pages that came back with status 200 and a body. Tables
-    without a ``status`` column hold successful fetches only."""
+    without a ``status`` column hold successful fetches only. ``fetch`` is kept if given."""
     ok = is_present("html")
     if "status" in pages.columns:
         ok = (F.col("status") == 200) & ok
-    return pages.where(ok).select("url", "html")
+    return pages.where(ok).select("url", "html", *[c for c in ("fetch",) if c in pages.columns])
 
 
 def lookup_page(urls: DataFrame, pages: DataFrame) -> DataFrame:
@@ -81,6 +99,13 @@ def post_meta_rows(posts: DataFrame, run_ts: Column, zone: str) -> DataFrame:
     return stamped.unpivot("post_id", keys, "meta_key", "meta_value").where(F.col("meta_value").isNotNull())
 
 
+def thumbnail_rows(posts: DataFrame) -> DataFrame:
+    """The featured image of a post as a metadata row; posts without one have none."""
+    return posts.where(F.col("thumbnail_id") > 0).select(
+        "post_id", F.lit("_thumbnail_id").alias("meta_key"), F.col("thumbnail_id").cast("string").alias("meta_value")
+    )
+
+
 def meta_wide(post_meta: DataFrame) -> DataFrame:
     """A10: one row per post, one column per known key."""
     return post_meta.groupBy("post_id").pivot("meta_key", list(S.META_KEYS)).agg(F.min("meta_value"))

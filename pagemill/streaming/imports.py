@@ -11,14 +11,14 @@ from pyspark.sql.streaming import DataStreamWriter
 from pagemill import schema as S
 from pagemill.functions.dates import is_today
 from pagemill.functions.urls import normalize_url
-from pagemill.operators.staging import stage
 from pagemill.plans.import_run import import_run
-from pagemill.sources.tables import latest_fetch
+from pagemill.sources.tables import thumbnail_rows
 
 
-def page_stream(spark: SparkSession, folder: str, files_per_batch: int = 64) -> DataFrame:
-    """Pages as they arrive in a folder."""
-    return spark.readStream.schema(S.PAGES).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+def page_stream(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
+    """Pages as they arrive in a folder, a trigger's worth cut to ``files_per_batch`` if given."""
+    stream = spark.readStream.schema(S.PAGES)
+    return (stream.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else stream).parquet(folder)
 
 
 def earlier_batches(spark: SparkSession, folder: str, table: str, ddl: str, batch_id: int) -> DataFrame:
@@ -36,9 +36,10 @@ def import_stream(
     pages: DataFrame, profiles: DataFrame, attachments: DataFrame, folder: str, checkpoint: str,
     run_ts: Column, zone: str = "UTC", today_only: bool = True,
 ) -> DataStreamWriter:
-    """Each trigger is one live run over the pages that arrived. Batches are
-    delivered at least once, so each is written under its own ``batch_id`` and
-    replaced when repeated."""
+    """Arrivals are added to a page table, and each trigger is one live run over all
+    of it: an article is imported once its listing page and itself are there, whichever
+    files and triggers brought them. Batches are delivered at least once, so each is
+    written under its own ``batch_id`` and replaced when repeated."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -46,13 +47,16 @@ def import_stream(
             t: earlier_batches(spark, folder, t, ddl, batch_id)
             for t, ddl in (("posts", S.POSTS), ("post_meta", S.POST_META), ("terms", S.TERMS))
         }
-        arrived = stage(latest_fetch(batch), "arrived")
+        batch.write.mode("overwrite").parquet(f"{folder}/arrived/batch_id={batch_id}")
+        stored = spark.read.schema(f"{S.PAGES}, batch_id bigint").parquet(f"{folder}/arrived")
+        pages = stored.where(F.col("batch_id") <= batch_id).drop("batch_id")
         result = import_run(
-            profiles, arrived, known["posts"], known["post_meta"], known["terms"], attachments,
+            profiles, pages, known["posts"], known["post_meta"], known["terms"], attachments,
             run_ts, zone, live=True, today_only=today_only,
         )
         written = {
-            "posts": result.posts.drop("profile_key", "thumbnail_id"), "post_meta": result.post_meta,
+            "posts": result.posts.drop("profile_key", "thumbnail_id"), 
+            "post_meta": result.post_meta.unionByName(thumbnail_rows(result.posts)),
             "terms": result.new_terms, "post_terms": result.post_terms, "outcomes": result.outcomes,
         }
         for table, rows in written.items():

@@ -43,9 +43,12 @@ def test_jsonld(values):
         ['[{"datePublished":"2024-01-01"}]', '{"@graph":[{"datePublished":"2024-01-01"}]}'],
         ["{bad", '{"datePublished":"soon"}', '{"datePublished":"2024-01-05T12:00:00Z"}'],
         [],
+        ['{"datePublished":"January 5, 2024"}'],
+        ['{"datePublished":"2024-01-05"} and more'], ['{"datePublished":"2024-01-05"}, {}'], [' {"datePublished":"2024-01-05T12:00:00Z"}\n'],
     ]
     assert values(D.jsonld_date("x", now()).cast("string"), scripts, "x array<string>") == [
         "2024-01-05 07:00:00", "2024-07-05 08:00:00", "2024-07-05 06:00:00", None, "2024-01-05 07:00:00", None,
+        "2024-01-04 19:00:00", None, None, "2024-01-05 07:00:00",
     ]
     assert values(D.short_zone("x"), ["EST", "EDT", "UTC"]) == ["ET", "ET", "UTC"]
 

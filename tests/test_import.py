@@ -165,6 +165,37 @@ def test_stream_in_two_triggers_equals_two_runs(spark, world):
     assert spark.read.parquet(f"{folder}/out/posts").count() == 3
 
 
+def test_listing_and_articles_in_different_triggers(spark, world):
+    """However the files are cut, what is imported in the end is the same."""
+    folder = tempfile.mkdtemp(prefix="pagemill-test-")
+    arrived = world["pages"].withColumn("fetched_at", F.lit(None).cast("timestamp"))
+    listing = F.col("url").isin("http://s.com", "http://t.com") | F.contains("url", F.lit("?page"))
+    for some in (listing, ~listing):
+        arrived.where(some).coalesce(1).write.parquet(f"{folder}/pages", mode="append")
+    imports.import_stream(
+        imports.page_stream(spark, f"{folder}/pages", 1), world["profiles"], world["attachments"], f"{folder}/out",
+        f"{folder}/state", now(), today_only=False,
+    ).start().awaitTermination()
+    posts = spark.read.parquet(f"{folder}/out/posts").collect()
+    assert sorted(r.post_title for r in posts) == ["T1", "T3", "T6"]
+    assert sorted(r.post_id for r in posts) == [1, 2, 3]
+
+
+def test_pages_fetched_again(spark, world):
+    """Repeats, old failures and stale bodies change nothing."""
+    stamp = lambda t: F.lit(t).cast("timestamp")
+    pages = world["pages"].withColumn("fetched_at", stamp("2024-01-03"))
+    stale = pages.withColumn("html", F.lit("<h1>old</h1>")).withColumn("fetched_at", stamp("2024-01-01"))
+    failed = pages.withColumn("status", F.lit(500)).withColumn("fetched_at", stamp("2024-01-02"))
+    again = pages.unionByName(pages).unionByName(stale).unionByName(failed)
+    rest = ("posts", "meta", "terms", "attachments")
+    once, twice = (
+        import_run(world["profiles"], p, *[world[k] for k in rest], now(), live=True) for p in (pages, again)
+    )
+    key = lambda run: sorted((r.post_id, r.post_title) for r in run.posts.collect())
+    assert key(once) == key(twice) and once.outcomes.count() == twice.outcomes.count()
+
+
 def test_known_page_bodies_are_not_shuffled(spark, world):
     """Listing and article joins move URLs to the pages, never bodies."""
     from pagemill.operators import discovery, profiles

@@ -216,6 +216,42 @@ def test_profile_changes(spark):
     ]
 
 
+def test_profile_changes_keep_what_they_do_not_name(spark):
+    fields = ", ".join(f"{f} string" for f in S.PROFILE_DEFAULTS if f != "posts_per_batch")
+    body = ", ".join(f"{f}:string" for f in S.PROFILE_DEFAULTS)
+    stored = [("a", {"profile_name": "A"}), ("b", {"source_url": "http://b"})]
+    base = spark.createDataFrame(stored, f"profile_key string, p struct<{fields.replace(' string', ':string')}>").select("profile_key", "p.*")
+    changes = spark.createDataFrame(
+        [(1, "purge", "", None), (2, "upsert", "new-1", {"profile_name": "?"}), (3, "upsert", "new-2", {"profile_name": "!"}),
+         (4, "copy", "a", None), (5, "copy", "a", None)],
+        f"seq bigint, op string, profile_key string, profile struct<{body}>",
+    )
+    got = {r.profile_key: r for r in profiles.apply_profile_changes(base, changes, F.lit(77)).collect()}
+    assert sorted(got) == ["a", "acopy-77", "acopy-77-2", "profile-77", "profile-77-2"]
+    assert got["a"].posts_per_batch is None and got["a"].source_url is None
+    assert {got["profile-77"].profile_name, got["profile-77-2"].profile_name} == {"?", "!"}
+
+
+def test_no_caps_on_numbers_names_and_axes(spark):
+    from pagemill.functions.text import to_int
+    from pagemill.operators.staging import own_folder
+
+    numbers = spark.createDataFrame([("9999999999",), ("-99999999999999999999999999999999999999999",), ("12x",), ("",)], "x string")
+    assert [r[0] for r in numbers.select(to_int("x")).collect()] == [2**31 - 1, -(2**31), 12, 0]
+    p = profile_table(spark, ("far", {"source_url": "http://h/l", "start_page": "2", "max_pages": "2147483647"}))
+    pages = spark.createDataFrame([(f"http://h/l?page={i}",) for i in range(5)] + [("http://other/",)], "url string")
+    config = discovery.within_crawl(profiles.profile_effective(p), pages)
+    assert discovery.page_sequence(config).agg(F.min("page_no"), F.max("page_no")).first() == (2, 7)
+    wanted = spark.createDataFrame([("k", "post_tag", "t" * 300)], "profile_key string, taxonomy string, name string")
+    linked, created = terms.get_or_create_terms(wanted, spark.createDataFrame([], S.TERMS))
+    assert created.count() == linked.count() == 1
+    bad = profile_table(spark, ("k", {"source_url": "http://h", "title_xpath": "//h2/following-sibling::p"}))
+    assert "bad title_xpath" in profiles.validate_profiles(bad).first().errors
+    assert own_folder("local[8]", "a").endswith("pagemill-a")
+    with pytest.raises(RuntimeError):
+        own_folder("spark://host:7077", "a")
+
+
 @pytest.mark.parametrize("required,extra", [(S.REQUIRED_FIELDS, ["missing post_type"]), (S.TEST_RUN_FIELDS, [])])
 def test_validation(spark, required, extra):
     p = profile_table(spark, ("k", {"source_url": "http://h", "listing_xpath": "//a", "title_xpath": "//h1", "content_xpath": "//div[", "date_xpath": "0"}))
