@@ -344,8 +344,11 @@ def _(spark, sf):
         AND profile_name <> ''),
     up AS (SELECT 'renamed-' || c_custkey AS profile_key, 'Renamed-' || c_custkey AS profile_name, c_mktsegment FROM cp
         WHERE c_mktsegment = 'HOUSEHOLD'),
-    copies AS (SELECT replace(replace(lower(profile_name), '#', ''), ' ', '') || 'copy-1705719600' AS profile_key,
-        profile_name || ' (Copy)' AS profile_name, c_mktsegment FROM cp WHERE c_mktsegment = 'FURNITURE')
+    made AS (SELECT *, replace(replace(lower(profile_name), '#', ''), ' ', '') || 'copy-1705719600' AS made_key FROM cp
+        WHERE c_mktsegment = 'FURNITURE'),
+    turns AS (SELECT *, row_number() OVER (PARTITION BY made_key ORDER BY c_custkey) AS turn FROM made),
+    copies AS (SELECT made_key || CASE WHEN turn > 1 THEN '-' || turn ELSE '' END AS profile_key,
+        profile_name || ' (Copy)' AS profile_name, c_mktsegment FROM turns)
     SELECT profile_key, min(profile_name) AS profile_name
     FROM (SELECT * FROM kept UNION ALL SELECT * FROM up UNION ALL SELECT * FROM copies) GROUP BY profile_key""")
 def _(spark, sf):
