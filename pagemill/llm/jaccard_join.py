@@ -170,7 +170,8 @@ def _brute_force(rows: DataFrame, similarity: float) -> DataFrame:
 
 def candidate_links(sets: DataFrame, similarity: float, repeats: int, depth: int, limit: int) -> DataFrame:
     """Links that connect all sets which may be similar, one row per link."""
-    narrow = sets.select("uid", "n", "sketch")
+    # both sides grow with the documents: the same joins at every size, no broadcast
+    narrow = sets.select("uid", "n", "sketch").hint("merge")
     run = F.sequence(F.lit(0), F.lit(repeats - 1))
     level = sets.select("uid", F.explode(run).alias("run"), "picks").select(
         "uid", "run", F.explode(F.get("picks", F.col("run") * depth)).alias("token")
@@ -178,7 +179,7 @@ def candidate_links(sets: DataFrame, similarity: float, repeats: int, depth: int
     found = []
     for at in range(depth):
         # counts are added up before they move, and most buckets hold a single set
-        counts = level.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+        counts = level.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").hint("merge")
         met = stage(level.join(counts, "key"), "buckets")
         found.append(_brute_force(met.where(F.col("m") <= limit).select("key", "uid").join(narrow, "uid"), similarity))
         large = met.where(F.col("m") > limit)
