@@ -1,10 +1,11 @@
 """Spelling variants: words one edit apart, and the form each variant stands for (operator 12).
 
 The vocabulary is laid out as two tries, of the words and of the words reversed, as one
-distributed table: per node (a 64-bit hash of direction and prefix) the letters that go on from it with the
-nodes they lead to, and the word that ends there. The frontier holds states ``(word, position,
-node, edits)``. Level by level, the states at one depth meet the nodes of that depth in a
-join: a letter that fits goes on, and a state without an edit also tries one inserted, deleted or replaced letter.
+distributed table: per node (a 64-bit hash, of the parent's hash and the letter that leads here) the one or two letters that go on from
+it, and the word that ends there. The frontier holds states ``(word, position, node, edits)``.
+Level by level, the states at one depth meet the nodes of that depth in a join: a letter that fits goes on, and a
+state without an edit also tries one inserted, deleted or replaced letter. As nodes know two letters, a state
+that would fail in the next level is not made at all.
 A state that has read its whole word with one edit, at a node where a word ends, is a pair of neighbours.
 
 One edit lies in the first half of a word or in the second, so a state starts at the node of
@@ -70,65 +71,80 @@ def _written(df: DataFrame, name: str, by: str) -> tuple[str, DataFrame]:
     return path, df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _node(depth: Column) -> Column:
-    return F.xxhash64("forward", F.substring("read", F.lit(1), depth))
+def _onward(node: Column, letter: Column) -> Column:
+    return F.xxhash64(node, letter)
 
 
 def _directions(words: DataFrame) -> DataFrame:
-    """Each word as it is read in either trie, with the depth at which its states start."""
+    """Each word as it is read in either trie: the depth at which its states start, and its nodes from there on
+    (``nodes[i]`` at depth ``begin - 1 + i``, the node before the start being the first)."""
     size = F.char_length("word")
     half = F.floor(size / 2).cast("int")
-    return words.select("word", "n", F.explode(F.array(F.lit(True), F.lit(False))).alias("forward")).select(
+    read = words.select("word", "n", F.explode(F.array(F.lit(True), F.lit(False))).alias("forward")).select(
         "word", "n", "forward", F.when(F.col("forward"), F.col("word")).otherwise(F.reverse("word")).alias("read"),
         F.when(F.col("forward"), half).otherwise(size - half).alias("begin"), size.alias("size"),
     )
+    letters = F.split("read", "")
+    head = F.aggregate(F.slice(letters, F.lit(1), F.col("begin") - 1), F.xxhash64(F.lit("root"), "forward"), _onward)
+    nodes = F.aggregate(
+        F.slice(letters, F.col("begin"), F.col("size")), F.array(head),
+        lambda seen, letter: F.concat(seen, F.array(_onward(F.element_at(seen, -1), letter))),
+    )
+    return read.withColumn("nodes", nodes)
 
 
 def trie(read: DataFrame) -> DataFrame:
-    """``depth, node, exits``: edges (letter, node they lead to) and the words that end at the node."""
-    steps = read.select("*", F.explode(F.sequence(F.greatest(F.col("begin") - 1, F.lit(0)), "size")).alias("depth"))
-    ends = F.col("depth") == F.col("size")
-    exit_ = F.struct(
-        F.when(~ends, F.substring("read", F.col("depth") + 1, F.lit(1))).alias("letter"),
-        F.when(~ends, _node(F.col("depth") + 1)).alias("child"),
-        F.when(ends, F.col("word")).alias("near"), F.when(ends, F.col("n")).alias("near_n"),
+    """``depth, node, after``, and ``near, near_n`` of the word that ends there. ``after``: the next two
+    letters of all words through the node (one letter if a word ends with it)."""
+    depth = F.col("begin") - 1 + F.col("place")
+    ends = depth == F.col("size")
+    return (
+        read.select("*", F.posexplode("nodes").alias("place", "node"))
+        .select(
+            depth.alias("depth"), "node", F.when(~ends, F.substring("read", depth + 1, F.lit(2))).alias("next"),
+            F.when(ends, F.struct("word", "n")).alias("end"),
+        )
+        .groupBy("depth", "node").agg(F.collect_set("next").alias("after"), F.collect_set("end").alias("ends"))
     )
-    return steps.groupBy("depth", _node(F.col("depth")).alias("node")).agg(F.collect_set(exit_).alias("exits"))
 
 
 def _advanced(states: DataFrame, nodes: DataFrame) -> DataFrame:
     """States one level deeper, and pairs: rows with ``near``."""
-    at = lambda place: F.substring("read", place + 1, F.lit(1))
-    pos, size = F.col("pos"), F.char_length("read")
-    # an edit that stays at the node: leave out the next letter, the last of its run
-    deletes = ~F.col("edited") & (pos < size) & (at(pos) != at(pos + 1))
-    here = F.struct(pos.alias("pos"), F.col("edited").alias("edited"))
-    tried = F.when(deletes, F.array(here, F.struct((pos + 1).alias("pos"), F.lit(True).alias("edited")))).otherwise(F.array(here))
-    met = (
-        states.join(nodes, "node").select("forward", "read", "exits", F.explode(tried).alias("s"))
-        .select("forward", "read", "s.pos", "s.edited", F.explode("exits").alias("x"))
-        .select("forward", "read", "pos", "edited", "x.*")
+    pos, edited, size = F.col("pos"), F.col("edited"), F.char_length("read")
+    met = states.join(nodes, "node").select(
+        "forward", "read", "pos", "edited", "node", "after", "ends", (pos == size).alias("over"),
+        F.substring("read", pos + 1, F.lit(1)).alias("here"), F.substring("read", pos + 2, F.lit(1)).alias("there"),
+        F.substring("read", pos + 1, F.lit(2)).alias("two"), F.substring("read", pos + 2, F.lit(2)).alias("later"),
     )
-
-    def move(pos: Column, edited: Column | bool) -> Column:
-        return F.struct(
-            pos.cast("int").alias("pos"), F.lit(edited).alias("edited"), F.col("child").alias("node"),
-            F.lit(None).cast("string").alias("near"), F.lit(None).cast("long").alias("near_n"),
-        )
-
-    ending = F.struct(
-        "pos", "edited", F.lit(None).cast("long").alias("node"), F.col("near").alias("near"), F.col("near_n").alias("near_n"),
+    here, there, over = F.col("here"), F.col("there"), F.col("over")
+
+    def move(pos: Column, edited: bool, letter: Column) -> Column:
+        return F.struct(pos.cast("int").alias("pos"), F.lit(edited).alias("edited"), _onward(F.col("node"), letter).alias("node"))
+
+    none = F.filter(F.array(move(pos, True, here)), lambda m: F.lit(False))
+    other = lambda x: F.substring(x, 1, 1) != here
+    follows = lambda x: F.substring(x, 2, 1)
+    onward = F.array(move(pos + 1, True, here))
+    # the last letter of a run of equal ones may be left out; the state then reads on at the same node
+    cut = ~over & (here != there)
+    deleted = F.when(cut & (there != "") & F.array_contains("after", F.col("later")), F.array(move(pos + 2, True, there)))
+    replaced = F.transform(
+        F.filter("after", lambda x: ~over & other(x) & (follows(x) == there)), lambda x: move(pos + 1, True, F.substring(x, 1, 1))
     )
-    none = F.filter(F.array(move(pos, True)), lambda m: F.lit(False))
-    moves = (
-        F.when(F.col("near").isNotNull(), F.when(F.col("edited") & (pos == size), F.array(ending)).otherwise(none))
-        .when(F.col("letter") == at(pos), F.array(move(pos + 1, F.col("edited"))))
-        .when(F.col("edited"), none)
-        .when(pos < size, F.array(move(pos, True), move(pos + 1, True)))
-        .otherwise(F.array(move(pos, True)))
+    inserted = F.transform(F.filter("after", lambda x: other(x) & (follows(x) == here)), lambda x: move(pos, True, F.substring(x, 1, 1)))
+    go = F.when(edited, F.when(~over & F.array_contains("after", F.col("two")), onward).otherwise(none)).otherwise(
+        F.concat(
+            F.when(over, none).otherwise(F.array(move(pos + 1, False, here))), F.coalesce(deleted, none), replaced, inserted,
+        )
     )
-    return met.select("forward", "read", F.explode(moves).alias("m")).select(
-        "forward", "read", "m.*", F.col("m.near").isNotNull().alias("found")
+    # read to the end with one edit, or with the last letter left out
+    done = F.when(over & edited | cut & ~edited & (there == ""), F.col("ends"))
+    nothing = F.struct(F.lit(None).cast("string").alias("word"), F.lit(None).cast("long").alias("n"))
+    stays = F.transform(go, lambda m: F.struct(m.alias("m"), nothing.alias("end")))
+    last = F.transform(done, lambda e: F.struct(move(pos, True, here).alias("m"), e.alias("end")))
+    return met.select("forward", "read", F.explode(F.concat(stays, F.coalesce(last, F.slice(stays, 1, 0)))).alias("s")).select(
+        "forward", "read", "s.m.*", F.col("s.end.word").alias("near"), F.col("s.end.n").alias("near_n"),
+        F.col("s.end.word").isNotNull().alias("found"),
     )
 
 
@@ -139,7 +155,7 @@ def _near_by_trie(words: DataFrame, deepest: int) -> DataFrame:
     trie_path, nodes = _written(trie(read), "trie", "depth")
     start_path, starts = _written(
         read.select(
-            "forward", "read", F.col("begin").alias("pos"), F.lit(False).alias("edited"), _node(F.col("begin")).alias("node"), "begin",
+            "forward", "read", F.col("begin").alias("pos"), F.lit(False).alias("edited"), F.get("nodes", F.lit(1)).alias("node"), "begin",
         ),
         "starts", "begin",
     )
@@ -150,7 +166,7 @@ def _near_by_trie(words: DataFrame, deepest: int) -> DataFrame:
         states = starts.where(F.col("begin") == depth).select(*columns)
         if carried is not None:
             states = states.unionByName(carried)
-        path, out = _written(_advanced(states, nodes.where(F.col("depth") == depth).select("node", "exits")), "frontier", "found")
+        path, out = _written(_advanced(states, nodes.where(F.col("depth") == depth).drop("depth")), "frontier", "found")
         word = F.when(F.col("forward"), F.col("read")).otherwise(F.reverse("read")).alias("word")
         found.append(out.where("found").select(word, "near", "near_n"))
         carried = out.where("not found").select(*columns)
