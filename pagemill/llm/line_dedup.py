@@ -81,13 +81,13 @@ class LineRuns:
         self.spark.sql(f"DROP TABLE {name}")
         drop_path(self.spark, f"{self.folder}/{name}")
 
-    def runs(self) -> list[DataFrame]:
-        return [self.spark.table(n) for level in self.levels for n in level]
+    def runs(self) -> list[str]:
+        return [n for level in self.levels for n in level]
 
     def add(self, counts: DataFrame) -> None:
         """Take in a batch given by its ``line_counts``."""
-        for run in self.runs():
-            counts = counts.join(run.where(F.col("n") >= self.least), _HASH, "left_anti")
+        for name in self.runs():
+            counts = counts.join(self.spark.table(name).where(F.col("n") >= self.least), _HASH, "left_anti")
         self._place(self._write(self._dealt(counts)), 0)
 
     def _place(self, name: str, level: int) -> None:
@@ -96,18 +96,16 @@ class LineRuns:
         self.levels[level].append(name)
         if len(self.levels[level]) == self.fan_in:
             old, self.levels[level] = self.levels[level], []
-            merged = self._write(self._summed([self.spark.table(n) for n in old]))
+            merged = self._write(self._dealt(self._summed(old)))
             for n in old:
                 self._drop(n)
             self._place(merged, level + 1)
 
-    def _summed(self, runs: list[DataFrame]) -> DataFrame:
-        out = runs[0]
-        for run in runs[1:]:
-            out = out.unionByName(run)
-        # Spark 4.1 takes a union of bucketed tables for bucketed, although equal buckets are not read together;
-        # dealing the rows out anew gives right sums
-        return self._dealt(out).groupBy(*_HASH).agg(F.sum("n").alias("n"))
+    def _summed(self, names: list[str]) -> DataFrame:
+        # The files, not the tables: Spark 4.1 takes a union of bucketed tables for bucketed itself, although
+        # it doesn't read equal buckets together, and then adds up nothing across tables.
+        paths = [f"{self.folder}/{n}" for n in names]
+        return self.spark.read.schema("hi long, lo long, n long").parquet(*paths).groupBy(*_HASH).agg(F.sum("n").alias("n"))
 
     def common(self) -> DataFrame:
         """``hi, lo`` of the lines that at least ``least`` documents have."""
