@@ -1,11 +1,11 @@
 """Spelling variants: words one edit apart, and the form each variant stands for (operator 12).
 
-The vocabulary is laid out as two tries, of the words and of the words reversed, as one
-distributed table: per node (a 64-bit hash, of the parent's hash and the letter that leads here) the one or two letters that go on from
-it, and the word that ends there. The frontier holds states ``(word, position, node, edits)``.
-Level by level, the states at one depth meet the nodes of that depth in a join: a letter that fits goes on, and a
-state without an edit also tries one inserted, deleted or replaced letter. As nodes know two letters, a state
-that would fail in the next level is not made at all.
+The vocabulary is laid out as two tries, of the words and of the words reversed. A node is a 64-bit hash, of the parent's
+hash and the letter that leads here. The edge table of a depth holds, per node, the next letter and the one after it, and the words
+that end; it comes from the words themselves walking down their own path. The frontier holds states
+``(word, position, node, edits)``. Level by level, the states at one depth are joined with the edges of that depth: a
+letter that fits goes on, and a state without an edit also tries one inserted, deleted or replaced letter. As edges know two
+letters, the join is on node and second letter, and a state that would fail in the next level is not made at all.
 A state that has read its whole word with one edit, at a node where a word ends, is a pair of neighbours.
 
 One edit lies in the first half of a word or in the second, so a state starts at the node of
@@ -71,109 +71,97 @@ def _written(df: DataFrame, name: str, by: str) -> tuple[str, DataFrame]:
     return path, df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _onward(node: Column, letter: Column) -> Column:
-    return F.xxhash64(node, letter)
+_STATE = ["forward", "read", "n", "pos", "edited", "node"]
 
 
-def _directions(words: DataFrame) -> DataFrame:
-    """Each word as it is read in either trie: the depth at which its states start, and its nodes from there on
-    (``nodes[i]`` at depth ``begin - 1 + i``, the node before the start being the first)."""
-    size = F.char_length("word")
+def _letter(place: Column) -> Column:
+    return F.substring("read", place + 1, F.lit(1))
+
+
+def _begin() -> Column:
+    size = F.char_length("read")
     half = F.floor(size / 2).cast("int")
+    return F.when(F.col("forward"), half).otherwise(size - half)
+
+
+def _starts(words: DataFrame) -> DataFrame:
+    """Each word as it is read in either trie, at the node before the one from which it may be edited."""
     read = words.select("word", "n", F.explode(F.array(F.lit(True), F.lit(False))).alias("forward")).select(
-        "word", "n", "forward", F.when(F.col("forward"), F.col("word")).otherwise(F.reverse("word")).alias("read"),
-        F.when(F.col("forward"), half).otherwise(size - half).alias("begin"), size.alias("size"),
-    )
-    letters = F.split("read", "")
-    head = F.aggregate(F.slice(letters, F.lit(1), F.col("begin") - 1), F.xxhash64(F.lit("root"), "forward"), _onward)
-    nodes = F.aggregate(
-        F.slice(letters, F.col("begin"), F.col("size")), F.array(head),
-        lambda seen, letter: F.concat(seen, F.array(_onward(F.element_at(seen, -1), letter))),
+        "forward", F.when(F.col("forward"), F.col("word")).otherwise(F.reverse("word")).alias("read"), "n",
+    ).withColumn("pos", F.greatest(_begin() - 1, F.lit(0)))
+    head = F.slice(F.split("read", ""), F.lit(1), F.col("pos"))
+    node = F.aggregate(head, F.xxhash64(F.lit("root"), "forward"), lambda up, letter: F.xxhash64(up, letter))
+    return read.select("forward", "read", "n", "pos", F.lit(False).alias("edited"), node.alias("node"), F.col("pos").alias("begin"))
+
+
+def _word() -> Column:
+    return F.when(F.col("forward"), F.col("read")).otherwise(F.reverse("read"))
+
+
+def _edges(states: DataFrame) -> DataFrame:
+    """``node, first, second, near, near_n``: letters that go on from a node; empty where a word ends,
+    which is then ``near``."""
+    pos, over = F.col("pos"), F.col("pos") == F.char_length("read")
+    return states.where("not edited").select(
+        "node", _letter(pos).alias("first"), _letter(pos + 1).alias("second"), F.when(over, _word()).alias("near"),
+        F.when(over, F.col("n")).alias("near_n"),
+    ).distinct()
+
+
+def _tries(states: DataFrame) -> DataFrame:
+    """What a state looks for among the edges: a second letter, and a first one that ``is`` or ``isnt`` some letter;
+    ``next`` is the position after taking the first."""
+    pos, here, there = F.col("pos"), _letter(F.col("pos")), _letter(F.col("pos") + 1)
+    over, edited, none = pos == F.char_length("read"), F.col("edited"), F.lit(None).cast("string")
+
+    def look(second: Column, is_: Column, isnt: Column, after: Column) -> Column:
+        return F.struct(second.alias("second"), is_.alias("is"), isnt.alias("isnt"), after.cast("int").alias("next"))
+
+    onward = look(there, here, none, pos + 1)  # at the end of the word: the edge that says that a word ends
+    # of a run of equal letters the last is left out; reading goes on with the letter after it
+    cut = ~edited & ~over & (here != there)
+    tries = F.array(
+        F.when(edited, onward),
+        F.when(cut, look(_letter(pos + 2), there, none, pos + 2)),
+        F.when(~edited & ~over, look(there, none, here, pos + 1)),
+        F.when(~edited, look(here, none, here, pos)),
     )
-    return read.withColumn("nodes", nodes)
-
-
-def trie(read: DataFrame) -> DataFrame:
-    """``depth, node, after``, and ``near, near_n`` of the word that ends there. ``after``: the next two
-    letters of all words through the node (one letter if a word ends with it)."""
-    depth = F.col("begin") - 1 + F.col("place")
-    ends = depth == F.col("size")
-    return (
-        read.select("*", F.posexplode("nodes").alias("place", "node"))
-        .select(
-            depth.alias("depth"), "node", F.when(~ends, F.substring("read", depth + 1, F.lit(2))).alias("next"),
-            F.when(ends, F.struct("word", "n")).alias("end"),
-        )
-        .groupBy("depth", "node").agg(F.collect_set("next").alias("after"), F.collect_set("end").alias("ends"))
+    ready = states.where(edited | (pos >= _begin()))
+    return ready.select("forward", "read", "node", F.explode(tries).alias("t")).where("t is not null").select(
+        "forward", "read", "node", "t.*"
     )
 
 
-def _advanced(states: DataFrame, nodes: DataFrame) -> DataFrame:
+def _advanced(states: DataFrame) -> DataFrame:
     """States one level deeper, and pairs: rows with ``near``."""
-    pos, edited, size = F.col("pos"), F.col("edited"), F.char_length("read")
-    met = states.join(nodes, "node").select(
-        "forward", "read", "pos", "edited", "node", "after", "ends", (pos == size).alias("over"),
-        F.substring("read", pos + 1, F.lit(1)).alias("here"), F.substring("read", pos + 2, F.lit(1)).alias("there"),
-        F.substring("read", pos + 1, F.lit(2)).alias("two"), F.substring("read", pos + 2, F.lit(2)).alias("later"),
+    node = F.xxhash64("node", "first").alias("node")
+    right = (F.col("first") == F.col("is")) | ((F.col("first") != F.col("isnt")) & (F.col("first") != ""))
+    moved = _tries(states).join(_edges(states), ["node", "second"]).where(right).select(
+        "forward", "read", F.lit(None).cast("long").alias("n"), F.col("next").alias("pos"), F.lit(True).alias("edited"), node,
+        "near", "near_n", F.col("near").isNotNull().alias("found"),
     )
-    here, there, over = F.col("here"), F.col("there"), F.col("over")
-
-    def move(pos: Column, edited: bool, letter: Column) -> Column:
-        return F.struct(pos.cast("int").alias("pos"), F.lit(edited).alias("edited"), _onward(F.col("node"), letter).alias("node"))
-
-    none = F.filter(F.array(move(pos, True, here)), lambda m: F.lit(False))
-    other = lambda x: F.substring(x, 1, 1) != here
-    follows = lambda x: F.substring(x, 2, 1)
-    onward = F.array(move(pos + 1, True, here))
-    # the last letter of a run of equal ones may be left out; the state then reads on at the same node
-    cut = ~over & (here != there)
-    deleted = F.when(cut & (there != "") & F.array_contains("after", F.col("later")), F.array(move(pos + 2, True, there)))
-    replaced = F.transform(
-        F.filter("after", lambda x: ~over & other(x) & (follows(x) == there)), lambda x: move(pos + 1, True, F.substring(x, 1, 1))
-    )
-    inserted = F.transform(F.filter("after", lambda x: other(x) & (follows(x) == here)), lambda x: move(pos, True, F.substring(x, 1, 1)))
-    go = F.when(edited, F.when(~over & F.array_contains("after", F.col("two")), onward).otherwise(none)).otherwise(
-        F.concat(
-            F.when(over, none).otherwise(F.array(move(pos + 1, False, here))), F.coalesce(deleted, none), replaced, inserted,
-        )
-    )
-    # read to the end with one edit, or with the last letter left out
-    done = F.when(over & edited | cut & ~edited & (there == ""), F.col("ends"))
-    nothing = F.struct(F.lit(None).cast("string").alias("word"), F.lit(None).cast("long").alias("n"))
-    stays = F.transform(go, lambda m: F.struct(m.alias("m"), nothing.alias("end")))
-    last = F.transform(done, lambda e: F.struct(move(pos, True, here).alias("m"), e.alias("end")))
-    return met.select("forward", "read", F.explode(F.concat(stays, F.coalesce(last, F.slice(stays, 1, 0)))).alias("s")).select(
-        "forward", "read", "s.m.*", F.col("s.end.word").alias("near"), F.col("s.end.n").alias("near_n"),
-        F.col("s.end.word").isNotNull().alias("found"),
+    walking = states.where(~F.col("edited") & (F.col("pos") < F.char_length("read"))).withColumn("first", _letter(F.col("pos"))).select(
+        "forward", "read", "n", (F.col("pos") + 1).alias("pos"), "edited", node, F.lit(None).cast("string").alias("near"),
+        F.lit(None).cast("long").alias("near_n"), F.lit(False).alias("found"),
     )
+    return moved.unionByName(walking)
 
 
 def _near_by_trie(words: DataFrame, deepest: int) -> DataFrame:
     """``word, near, near_n`` among words of at most ``deepest`` letters."""
     spark = words.sparkSession
-    read = _directions(words)
-    trie_path, nodes = _written(trie(read), "trie", "depth")
-    start_path, starts = _written(
-        read.select(
-            "forward", "read", F.col("begin").alias("pos"), F.lit(False).alias("edited"), F.get("nodes", F.lit(1)).alias("node"), "begin",
-        ),
-        "starts", "begin",
-    )
-    columns = ["forward", "read", "pos", "edited", "node"]
+    start_path, starts = _written(_starts(words), "starts", "begin")
     found, carried, before = [], None, None
-    first = read.agg(F.min("begin")).first()[0]
-    for depth in range(first, deepest + 1):
-        states = starts.where(F.col("begin") == depth).select(*columns)
+    for depth in range(starts.agg(F.min("begin")).first()[0], deepest + 1):
+        states = starts.where(F.col("begin") == depth).select(*_STATE)
         if carried is not None:
             states = states.unionByName(carried)
-        path, out = _written(_advanced(states, nodes.where(F.col("depth") == depth).drop("depth")), "frontier", "found")
-        word = F.when(F.col("forward"), F.col("read")).otherwise(F.reverse("read")).alias("word")
-        found.append(out.where("found").select(word, "near", "near_n"))
-        carried = out.where("not found").select(*columns)
+        path, out = _written(_advanced(states), "frontier", "found")
+        found.append(out.where("found").select(_word().alias("word"), "near", "near_n"))
+        carried = out.where("not found").select(*_STATE)
         if before:
             drop_path(spark, f"{before}/found=false")
         before = path
-    drop_path(spark, trie_path)
     drop_path(spark, start_path)
     return reduce(DataFrame.unionByName, found)
 
