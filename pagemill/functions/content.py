@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pagemill.functions.markup import (
-    EVENTS_TYPE, NODES_TYPE, attr_markup, markup_between, parse_attrs, raw_tokens,
+    EVENTS_TYPE, NODES_TYPE, TOKEN_PATTERN, attr_markup, markup_between, parse_attrs, raw_tokens,
 )
 from pagemill.functions.selectors import compiled, first, matches
 from pagemill.functions.sqltext import let, quote, string_array
@@ -17,8 +17,8 @@ COMMON_ATTRS = ("class", "id", "style")
 EXTRA_ATTRS = {"a": ("href", "target"), "img": ("src", "alt", "width", "height")}
 ONLY_ATTRS = {"br": ("class",)}
 
-_PRE = r"(?is)<pre[^>]*>.*?</pre>"
-_PRE_MARK = "<!--\x01-->"
+# a closed pre element is one token, everything else is as the page's tokens are
+_PRE = r"<pre\b[^>]*+>.*?</pre\s*+>"
 _TRIM = quote(" \t\n\r\x00\x0b")
 
 
@@ -28,25 +28,30 @@ def trim(text: str) -> str:
 
 
 def clean_content(html: str) -> str:
-    """Tidy white space, line breaks and gaps between tags; ``pre`` stays as it is."""
-    steps = (
-        (r"\r\n|\r|\n", " "),
-        (r"\s\s+", " "),
-        (r"(?i)<br\s*/?>\s*<br\s*/?>", "<br>"),
-        (r"(?i)<p([^>]*)>\s*<br\s*/?>", "<p$1>"),
-        (r"(?i)<br\s*/?>\s*</p>", "</p>"),
-        (r">\s+<", "><"),
+    """Tidy white space, line breaks and gaps between tags; ``pre`` stays as it is.
+
+    Works on the page's tokens. White space in a token shrinks to single spaces, and a text of nothing
+    else goes unless it begins or ends the content. Then only tags and texts with something to read are neighbours: of
+    the line breaks between two of these half stay (rounded up), less one after an opening and one before a closing ``p``."""
+    tokens = f"regexp_extract_all(_h, {quote('(?is)' + _PRE + '|' + TOKEN_PATTERN.removeprefix('(?is)'))}, 0)"
+    blanks = quote(" \t\n\r\x0b\x0c")
+    space = f"regexp_replace(translate(_t, {quote(chr(13) + chr(10))}, '  '), {quote('[ ' + chr(9) + chr(11) + chr(12) + ']{2,}')}, ' ')"
+    tidied = f"transform({tokens}, _t -> if(lower(substr(_t, 1, 4)) = {quote('<pre')} and endswith(lower(_t), 'e>'), _t, {space}))"
+    solid = f"filter(_ts, (_t, _i) -> _i in (0, size(_ts) - 1) or trim(both {blanks} from _t) <> '')"
+    # places of all tokens but line breaks, and one before the first token
+    is_break = f"lower(_vs[_i]) rlike {quote(r'^<br *+/?>$')}"
+    places = f"concat(array(-1), filter(sequence(0, size(_vs) - 1), _i -> not ({is_break})))"
+    opened = f"if(_at >= 0 and lower(_vs[greatest(_at, 0)]) rlike {quote(r'^<p[ />]')}, 1, 0)"
+    closed = f"if(_to < size(_vs) and lower(_vs[least(_to, size(_vs) - 1)]) = {quote('</p>')}, 1, 0)"
+    breaks = f"""concat(array_repeat({quote('<br>')}, cast((_to - _at - 1) div 2 as int)),
+        if((_to - _at - 1) % 2 = 1, array(_vs[_to - 1]), cast(array() as array<string>)))"""
+    stay = let("_bs", breaks, f"array_join(slice(_bs, 1 + {opened}, greatest(0, size(_bs) - {opened} - {closed})), '')")
+    piece = let(
+        "_to", "coalesce(get(_ms, _j + 1), size(_vs))", f"concat(if(_at >= 0, _vs[greatest(_at, 0)], ''), {stay})",
     )
-
-    def tidy(text: str) -> str:
-        for pattern, replacement in steps:
-            text = f"regexp_replace({text}, {quote(pattern)}, {quote(replacement)})"
-        return text
-
-    marked = f"array_join(split(_h, {quote(_PRE)}), {quote(_PRE_MARK)})"
-    restored = f"""array_join(flatten(zip_with(split({tidy(marked)}, {quote(_PRE_MARK)}),
-        regexp_extract_all(_h, {quote(_PRE)}, 0), (_c, _b) -> array(_c, coalesce(_b, '')))), '')"""
-    return let("_h", html, f"case when _h rlike {quote(_PRE)} then {restored} else {tidy('_h')} end")
+    joined = f"array_join(transform(_ms, (_at, _j) -> {piece}), '')"
+    cleaned = let("_ts", tidied, let("_vs", solid, let("_ms", places, joined)))
+    return let("_h", html, f"case when _h is null or _h = '' then _h else {cleaned} end")
 
 
 def fragment(stream: str, elements: str, node: str) -> str:
@@ -64,14 +69,22 @@ def drop_nodes(stream: str, elements: str, rules: str, root_parent: str) -> str:
         "named_struct('kind', 'gone', 'tag', cast(null as string), 'raw', '',"
         " 'attrs', cast(null as map<string,string>), 'ref', -1, 'implied', true)"
     )
-    step = let(
-        "_out", picked,
-        f"""case when size(_out) = 0 then _w else named_struct(
-            'events', transform(_w.events, (_e, _i) ->
-                case when exists(_out, _x -> _i between _x.start and _x.end) then {gone} else _e end),
-            'nodes', filter(_w.nodes, _n ->
-                not exists(_out, _x -> _n.start >= _x.start and _n.end <= _x.end))) end""",
-    )
+    # Picked spans nest or lie apart and come in document order: those that begin after the end of all before are
+    # the outermost. Kept in chunks, as appending to one long array copies it each time.
+    outer = """aggregate(_ch, named_struct('last', _s.last, 'out', slice(_ch, 1, 0)), (_o, _x) -> if(_x.start <= _o.last, _o,
+        named_struct('last', _x.end, 'out', array_append(_o.out, _x))))"""
+    chunk = let("_r", outer, "named_struct('last', _r.last, 'out', array_append(_s.out, _r.out))")
+    chunks = "transform(sequence(0, cast((size(_out) - 1) div _k as int)), _c -> slice(_out, _c * _k + 1, _k))"
+    outermost = f"""aggregate({chunks}, named_struct('last', -1, 'out', array(slice(_out, 1, 0))),
+        (_s, _ch) -> {chunk}, _s -> flatten(_s.out))"""
+    # the events before a span, a gone one for each event in it, and what comes after the last span
+    before = "if(_i = 0, 0, _os[greatest(_i - 1, 0)].end + 1)"
+    cut = f"concat(slice(_w.events, {before} + 1, _x.start - {before}), array_repeat({gone}, _x.end - _x.start + 1))"
+    tail = "slice(_w.events, element_at(_os, -1).end + 2, size(_w.events))"
+    events = f"concat(flatten(transform(_os, (_x, _i) -> {cut})), {tail})"
+    nodes = "filter(_w.nodes, _n -> _ev[_n.start].kind <> 'gone')"
+    swept = let("_os", let("_k", "cast(ceil(sqrt(size(_out))) as int)", outermost), let("_ev", events, f"named_struct('events', _ev, 'nodes', {nodes})"))
+    step = let("_out", picked, f"case when size(_out) = 0 then _w else {swept} end")
     start = f"named_struct('events', cast({stream} as {EVENTS_TYPE}), 'nodes', cast({elements} as {NODES_TYPE}))"
     return f"aggregate({rules}, {start}, (_w, _rule) -> {step})"
 

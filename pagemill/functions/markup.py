@@ -70,7 +70,7 @@ TOKEN_PATTERN = (
 )
 _RAW_PATTERN = rf"(?is)^(<(?:script|style)\b{_TAG_REST})(.*?)(</(?:script|style)\s*+>)?\z"
 _ATTR_PATTERN = r"""([^\s"'<>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?"""
-_ENTITY_PATTERN = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*+);|[^&]++|&"
+_ENTITY_PATTERN = r"&(?:#(?=[0-9])0*+[0-9]{0,7}|#[xX](?=[0-9a-fA-F])0*+[0-9a-fA-F]{0,6}|[A-Za-z][A-Za-z0-9]*+);|[^&]++|&"
 
 _ATTRS = "cast(null as map<string,string>)"
 _EVENT_TYPE = "struct<kind:string,tag:string,raw:string,attrs:map<string,string>,ref:int,implied:boolean>"
@@ -97,8 +97,8 @@ def _character(code: str) -> str:
 def decode_entities(text: str) -> str:
     """Named and numeric character references become characters; those without a
     closing semicolon stay as they are."""
-    decimal = _character("cast(substr(_e, 3, length(_e) - 3) as int)")
-    hexa = _character("cast(conv(substr(_e, 4, length(_e) - 4), 16, 10) as int)")
+    decimal = _character("cast(concat('0', ltrim('0', substr(_e, 3, length(_e) - 3))) as int)")
+    hexa = _character("cast(conv(concat('0', ltrim('0', substr(_e, 4, length(_e) - 4))), 16, 10) as int)")
     piece = f"""coalesce(
         case when not (startswith(_e, '&') and endswith(_e, ';')) then _e
              when startswith(lower(_e), {quote("&#x")}) then {hexa}

@@ -644,15 +644,23 @@ def _(spark, sf):
     return _content(spark, sf, "include", "html: <hr>\n//p | <q> | </q>\n//h1", "//h1")
 
 
-CLEAN_SQL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({},
-    '\r\n|\r|\n', ' ', 'g'), '\s\s+', ' ', 'g'), '(?i)<br\s*/?>\s*<br\s*/?>', '<br>', 'g'), '(?i)<p([^>]*)>\s*<br\s*/?>', '<p\1>', 'g'),
-    '(?i)<br\s*/?>\s*</p>', '</p>', 'g'), '>\s+<', '><', 'g')"""
+# Lines of a text, each with single spaces; what stands between two lines are two breaks, of which one stays, and
+# a paragraph begins and ends with one break less.
+CLEAN_LINES = r"""list_transform(string_split(text, chr(10)), lambda x: regexp_replace(replace(x, chr(13), ' '), '\s\s+', ' ', 'g'))"""
 
+# The same for markup ``c`` that begins and ends with a tag and writes breaks and paragraphs plainly: tags and texts, blank ones left out.
+CLEAN_MARKUP = """replace(replace(replace(array_to_string(list_filter(list_transform(regexp_extract_all(c, '<[^>]*>|[^<]+'),
+    lambda x: regexp_replace(translate(x, chr(13) || chr(10), '  '), ' +', ' ', 'g')), lambda x: trim(x) <> ''), ''),
+    '<br><br>', '<br>'), '<p><br>', '<p>'), '<br></p>', '</p>')"""
 
-@query("clean_content", rf"""WITH d AS (SELECT doc_id, '<p>' || replace(text, chr(10), '<br>' || chr(10) || '<BR />') || '  </p> <pre>' || text || '</pre> <i>' || lang || '</i>' AS h,
-        text FROM documents)
-    SELECT doc_id, {CLEAN_SQL.format("split_part(h, '<pre>', 1) || '<!---->' || split_part(h, '</pre>', 2)")} AS c0,
-        replace({CLEAN_SQL.format("split_part(h, '<pre>', 1) || '<!---->' || split_part(h, '</pre>', 2)")}, '<!---->', '<pre>' || text || '</pre>') AS content FROM d""")
+
+@query("clean_content", rf"""WITH d AS (SELECT doc_id, lang, text, {CLEAN_LINES} AS ls FROM documents),
+    e AS (SELECT doc_id, lang, text, array_to_string(list_transform(ls, lambda x: CASE WHEN regexp_full_match(x, '\s*') THEN '' ELSE x END), '<br>') AS b,
+        regexp_full_match(ls[-1], '\s*') AS gap FROM d),
+    f AS (SELECT doc_id, lang, text, gap, CASE WHEN starts_with(b, '<br>') THEN b[5:] ELSE b END AS b FROM e),
+    g AS (SELECT doc_id, lang, text, CASE WHEN NOT gap THEN rtrim(b, ' ' || chr(9)) || ' ' WHEN ends_with(b, '<br>') THEN b[:-5] ELSE b END AS b FROM f)
+    SELECT doc_id, '<p>' || b || '</p><!----><i>' || lang || '</i>' AS c0,
+        '<p>' || b || '</p><pre>' || text || '</pre><i>' || lang || '</i>' AS content FROM g""")
 def _(spark, sf):
     docs = table(spark, sf, "documents")
     broken = F.replace("text", F.lit("\n"), F.lit("<br>\n<BR />"))
@@ -1157,7 +1165,7 @@ def _(spark, sf):
 
 
 @query("import_posts", rf"""WITH {crawl_sql(OLD_PAGES, True)}, r AS (SELECT s2.*, {escaped(rf"regexp_replace({CLOSED}, '(?s)<h1>.*?</h1>', '')")} AS c FROM s2 WHERE status = 'created')
-    SELECT title AS post_title, 'post' AS post_type, 'publish' AS post_status, '2024-01-20 03:00:00' AS post_date, {CLEAN_SQL.format('c')} AS post_content FROM r""")
+    SELECT title AS post_title, 'post' AS post_type, 'publish' AS post_status, '2024-01-20 03:00:00' AS post_date, {CLEAN_MARKUP} AS post_content FROM r""")
 def _(spark, sf):
     return _run(spark, sf, True).posts.select(
         "post_title", "post_type", "post_status", F.date_format("post_date", "yyyy-MM-dd HH:mm:ss").alias("post_date"), "post_content"

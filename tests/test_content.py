@@ -97,4 +97,4 @@ def test_text_helpers(values):
     assert values(strip_tags("x"), [" <b>A</b> & 1 < 2<style>x</style>"]) == ["A & 1 < 2"]
     assert values(split_lines("x"), [" a \n0\n\nb\r\n", None]) == [["a", "b"], []]
     assert values(split_csv("x"), ["News,, Tech ,"]) == [["News", "Tech"]]
-    assert values(to_int("x"), [" 12abc", "-3", "x", None, "99999999999"]) == [12, -3, 0, 0, 0]
+    assert values(to_int("x"), [" 12abc", "-3", "x", None, "99999999999"]) == [12, -3, 0, 0, 2147483647]

@@ -31,6 +31,22 @@ def test_dates(values):
         "3 days ago": "2024-02-26 21:00:00",
         "Foo 99, 2024": "2024-02-29 21:00:00",
         "Jan 5, 2024 13:05 pm": "2024-02-29 21:00:00",
+        "(Jan 5,2024, 9:30)": "2024-01-05 09:30:00",
+        "Updated 3 times; May 15, 2024 21:07:30 pm": "2024-05-15 21:07:00",
+        "xJan 5, 2024": "2024-02-29 21:00:00",
+        "@170441280000": "7371-01-25 19:00:00",
+        "next monday": "2024-03-03 19:00:00",
+        "last friday 10:00": "2024-02-23 05:00:00",
+        "friday": "2024-02-29 19:00:00",
+        "-3 days 2 hours": "2024-02-26 23:00:00",
+        "3 days 2 hours ago": "2024-02-26 19:00:00",
+        "+1 week": "2024-03-07 21:00:00",
+        "last month": "2024-01-31 21:00:00",
+        "third week noon": "2024-03-22 08:00:00",
+        "tomorrow 3:30 pm EST": "2024-03-02 15:30:00",
+        "1000000000 seconds ago": "1992-06-22 20:13:20",
+        "3 apples": "2024-02-29 21:00:00",
+        "next": "2024-02-29 21:00:00",
     }
     assert dict(zip(cases, values(D.date_or_now("x", NY, now()).cast("string"), list(cases)))) == cases
 
