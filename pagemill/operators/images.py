@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.text import as_col, is_present
 from pagemill.functions.urls import is_image_url, url_label
+from pagemill.operators.staging import looked_up
 
 # fixed values: media types with a file extension
 MIME_EXTENSIONS = {
@@ -34,8 +35,10 @@ def match_attachments(items: DataFrame, attachments: DataFrame) -> DataFrame:
         .groupBy("image_name")
         .agg(F.min("attachment_id").alias("by_name"))
     )
-    named = items.withColumn("image_name", F.nullif(url_label("image_url"), F.lit("")))
-    return named.join(by_source, "image_url", "left").join(by_name, "image_name", "left").drop("image_name")
+    # items without an image are dealt out by whatever else they hold
+    named = items.withColumn("image_name", F.nullif(url_label("image_url"), F.lit(""))).withColumn("spread", F.xxhash64(*items.columns))
+    sourced = looked_up(named, by_source, ["image_url"], "spread")
+    return looked_up(sourced, by_name, ["image_name"], "spread").drop("image_name", "spread")
 
 
 def featured_image(items: DataFrame, external: bool = True) -> DataFrame:

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from pagemill.functions.dates import is_today
 from pagemill.functions.urls import url_label
 from pagemill.operators.discovery import PAGES_PER_BLOCK
-from pagemill.operators.staging import sum_before
+from pagemill.operators.staging import looked_up, sum_before
 
 
 def title_exists(items: DataFrame, imported_titles: DataFrame) -> DataFrame:
     """H1: flag ``title_known``; titles are compared as stored."""
     known = imported_titles.select("post_type", "post_title").distinct().withColumn("_known", F.lit(True))
     return (
-        items.join(known, ["post_type", "post_title"], "left")
+        looked_up(items, known, ["post_type", "post_title"], "url")
         .withColumn("title_known", F.coalesce("_known", F.lit(False)))
         .drop("_known")
     )
@@ -48,11 +48,14 @@ def first_title_wins(items: DataFrame, scope: list[str]) -> DataFrame:
     """H2: inside ``scope`` a created title blocks the same title at later places.
 
     The first place is a minimum per title, joined back: a title that a third of all
-    items share is reduced before the shuffle, and the join may be split by AQE.
+    items share is reduced before the shuffle, and the join may be split by AQE. Only titles that two
+    items contest go back.
     """
     keys = [*scope, "post_type", "post_title"]
     firsts = (
-        items.where(F.col("status") == "created").groupBy(*keys).agg(F.min("place").alias("first_place"))
+        items.where("post_title is not null").groupBy(*keys)
+        .agg(F.min(F.when(F.col("status") == "created", F.col("place"))).alias("first_place"), F.count("*").alias("_n"))
+        .where((F.col("_n") > 1) & F.col("first_place").isNotNull()).drop("_n")
     )
     blocked = (
         F.coalesce(F.col("first_place") < F.col("place"), F.lit(False))
@@ -60,7 +63,7 @@ def first_title_wins(items: DataFrame, scope: list[str]) -> DataFrame:
         & ((F.col("status") == "created") | (F.col("reason") == "Not published today"))
     )
     return (
-        items.join(firsts, keys, "left")
+        looked_up(items, firsts, keys, "url")
         .withColumn("_blocked", blocked)
         .withColumn("status", F.when(F.col("_blocked"), F.lit("skipped")).otherwise(F.col("status")))
         .withColumn("reason", F.when(F.col("_blocked"), F.lit("Title already exists")).otherwise(F.col("reason")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,6 +48,17 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BR
     return F.broadcast(df) if seen["n"] <= rows and seen["bytes"] <= size else df
 
 
+def looked_up(items: DataFrame, table: DataFrame, keys: list[str], spread: str, ways: int = ID_BUCKETS) -> DataFrame:
+    """``items`` with the columns of ``table``, which has one row per ``keys``, where there is such a row.
+
+    Rows whose keys are null find nothing; they are dealt out by a hash of the column ``spread`` instead of
+    meeting in the one task that null hashes to. Hot keys are split by AQE."""
+    lacks = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    lane = F.when(lacks, 1 + F.pmod(F.xxhash64(spread), F.lit(ways))).otherwise(F.lit(0).cast("bigint"))
+    found = table.withColumn("_lane", F.lit(0).cast("bigint"))
+    return items.withColumn("_lane", lane).join(found, [*keys, "_lane"], "left").drop("_lane")
+
+
 def sum_before(df: DataFrame, keys: list[str], block: Column, order: list[str], value: Column, out: str) -> DataFrame:
     """Exclusive running sum of ``value`` per ``keys`` in ``order``.
 

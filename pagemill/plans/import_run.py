@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ _NARROW = (
     "profile_key", "url", "page_no", "link_pos", "fetched", "gate", "gate_text", "title", "post_title",
     "post_date", "date_source", "source_timezone", "image_url", "complete", "item_row",
 )
+# columns of a run's posts that are not stored with them
+_OF_RUN = ("profile_key", "thumbnail_id", "image_source", "image_url")
 
 
 @dataclass
@@ -41,6 +44,13 @@ class Imported:
     def log(self) -> DataFrame:
         return report.item_log(self.outcomes)
 
+    def tables(self) -> dict[str, DataFrame]:
+        """What a live run adds to the stored tables."""
+        return {
+            "posts": self.posts.drop(*_OF_RUN), "post_meta": self.post_meta.unionByName(tables.image_rows(self.posts)),
+            "terms": self.new_terms, "post_terms": self.post_terms, "outcomes": self.outcomes,
+        }
+
 
 def discover(config: DataFrame, pages: DataFrame, last: DataFrame, imported: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(candidates, imported skips)``; each listing page is parsed once."""
@@ -118,15 +128,22 @@ def import_run(
     profile_table: DataFrame, pages: DataFrame, posts: DataFrame, post_meta: DataFrame,
     term_table: DataFrame, attachments: DataFrame, run_ts: Column, zone: str = "UTC",
     live: bool = False, today_only: bool = False, overrides: DataFrame | None = None, author: int = 1,
+    settled: DataFrame | None = None,
 ) -> Imported:
-    """One run over all valid profiles. A dry run decides everything and writes nothing."""
+    """One run over all valid profiles. A dry run decides everything and writes nothing. Links in ``settled``
+    (``profile_key, url``) were dealt with before: their pages are not read and they are not logged."""
     checked = profiles.validate_profiles(profiles.profile_defaults(profile_table, LOAD_DEFAULTS))
     config = stage(
         profiles.profile_effective(checked.where(F.size("errors") == 0).drop("errors"), overrides), "config"
     )
     last = stage(tables.last_fetches(pages), "fetches")
     found, skipped = discover(config, pages, last, tables.imported_urls(posts, post_meta))
-    found = stage(found, "candidates")
+    if settled is not None:
+        found = found.join(settled.distinct().withColumn("done", F.lit(True)), ["profile_key", "url"], "left")
+        found = found.withColumn("open", F.col("done").isNull()).drop("done")
+        skipped = skipped.join(settled, ["profile_key", "url"], "left_anti")
+    everything = stage(found, "candidates")
+    found = everything if settled is None else everything.where("open").drop("open")
     extracted = stage(extract_items(found, config, pages, last, run_ts, zone), "items")
     items = with_failures(found, one_item_each(extracted))
     decided = stage(
@@ -137,7 +154,7 @@ def import_run(
     outcomes = decided.select(*log).unionByName(skipped, allowMissingColumns=True)
     failed = checked.where(F.size("errors") > 0).select("profile_key", F.array_join("errors", ", ").alias("error"))
     # a profile whose links were all imported before has no candidates either
-    errors = failed.unionByName(discovery.no_content_errors(config, found))
+    errors = failed.unionByName(discovery.no_content_errors(config, everything))
     if not live:
         return Imported(outcomes, errors)
 
@@ -151,7 +168,7 @@ def import_run(
         "post_id", "post_type", "post_title",
         F.expr(prefix_css("custom_css", "content")).alias("post_content"),
         F.col("excerpt").alias("post_excerpt"), "post_status", "post_date",
-        F.lit(author).cast("bigint").alias("post_author"), "profile_key", "thumbnail_id",
+        F.lit(author).cast("bigint").alias("post_author"), *_OF_RUN,
     )
     linked, new_terms = terms.get_or_create_terms(terms.wanted_terms(config), term_table)
     return Imported(
@@ -173,19 +190,14 @@ def import_in_turn(
             run_ts, live=True, **options,
         )
         # only what is new is written
-        posts = posts.unionByName(stage(result.posts.drop("profile_key", "thumbnail_id"), "posts"))
+        posts = posts.unionByName(stage(result.posts.drop(*_OF_RUN), "posts"))
         post_meta = post_meta.unionByName(stage(result.post_meta, "post_meta"))
         term_table = term_table.unionByName(stage(result.new_terms, "terms"))
         results.append(result)
     return results
 
 
-def write_run(result: Imported, folder: str) -> None:
-    """Append a live run to the tables under ``folder``."""
-    if result.posts is None:
-        return
-    tables.append(result.outcomes, f"{folder}/outcomes")
-    tables.append(result.posts.drop("profile_key", "thumbnail_id"), f"{folder}/posts")
-    tables.append(result.post_meta.unionByName(tables.thumbnail_rows(result.posts)), f"{folder}/post_meta")
-    tables.append(result.new_terms, f"{folder}/terms")
-    tables.append(result.post_terms, f"{folder}/post_terms")
+def write_run(result: Imported, folder: str, run_id: str | None = None) -> bool:
+    """Add a live run to the tables under ``folder``, all or none; read them with ``tables.written``.
+    A run written before under the same ``run_id`` is left as it is."""
+    return result.posts is not None and tables.write_parts(result.tables(), folder, run_id or uuid4().hex)

@@ -20,7 +20,7 @@ from pagemill.functions import urls as U
 from pagemill.functions.sqltext import quote
 from pagemill.operators import discovery, extraction, images, outcome, profiles, report, schedule, terms
 from pagemill.operators.staging import shared_folder, stage, sum_before
-from pagemill.plans.import_run import import_run
+from pagemill.plans.import_run import import_run, write_run
 from pagemill.sources import tables
 from pagemill.streaming import imports
 
@@ -1278,3 +1278,73 @@ def _(spark, sf):
         "post_id", U.host_of("meta_value").alias("profile_key")
     )
     return spark.read.parquet(f"{folder}/out/posts").join(key, "post_id").select("profile_key", "post_title")
+
+
+@query("import_written", f"""WITH {crawl_sql(OLD_PAGES, True)}
+    SELECT profile_key, title AS post_title, {NORM} AS source_url, 3 AS n_meta, 'News,Web,crawl' AS terms,
+        (SELECT count(*) FROM res r WHERE r.profile_key = res.profile_key) AS n_logged FROM res WHERE status = 'created'""")
+def _(spark, sf):
+    """The tables after a run that was written twice, and after an interrupted write of another."""
+    result = _run(spark, sf, True)
+    folder = f"{shared_folder(spark)}/site-{imports.uuid4().hex}"
+    result.tables()["posts"].write.parquet(f"{folder}/posts/run=interrupted")
+    for _ in range(2):
+        write_run(result, folder, "first")
+    stored = {
+        name: tables.written(spark, folder, name, ddl) for name, ddl in (
+            ("posts", profiles.S.POSTS), ("post_meta", profiles.S.POST_META), ("terms", profiles.S.TERMS),
+            ("post_terms", profiles.S.POST_TERMS), ("outcomes", "profile_key string"),
+        )
+    }
+    meta = stored["post_meta"].groupBy("post_id").agg(
+        F.count("*").alias("n_meta"), F.max(F.when(F.col("meta_key") == "source_url", F.col("meta_value"))).alias("source_url")
+    )
+    names = stored["post_terms"].join(stored["terms"], "term_id").groupBy("post_id").agg(
+        F.array_join(F.sort_array(F.collect_list("name")), ",").alias("terms")
+    )
+    logged = stored["outcomes"].groupBy("profile_key").agg(F.count("*").alias("n_logged"))
+    return stored["posts"].join(meta, "post_id").join(names, "post_id").withColumn("profile_key", U.host_of("source_url")).join(
+        logged, "profile_key"
+    ).select("profile_key", "post_title", "source_url", "n_meta", "terms", "n_logged")
+
+
+@query("profiles_loaded", f"""WITH h AS (SELECT DISTINCT {HOST} AS profile_key FROM pages)
+    SELECT profile_key, 'all' AS asked, '1000' AS max_pages FROM h UNION ALL SELECT min(profile_key), 'one', '1000' FROM h""")
+def _(spark, sf):
+    """A3: stored profiles, all of them and one by its key; a key that nobody has is an error."""
+    hosts, _pages = crawl(spark, sf)
+    path = f"{shared_folder(spark)}/profiles-{imports.uuid4().hex}"
+    hosts.write.json(path)
+    everyone = tables.load_profiles(spark, path)
+    key = everyone.agg(F.min("profile_key")).first()[0]
+    try:
+        tables.load_profiles(spark, path, key=f"{key} and more")
+    except ValueError:
+        one = tables.load_profiles(spark, path, key=key)
+    return everyone.withColumn("asked", F.lit("all")).unionByName(one.withColumn("asked", F.lit("one"))).select(
+        "profile_key", "asked", "max_pages"
+    )
+
+
+@query("stream_import_thrice", f"""WITH {crawl_sql(NO_PAGES, True).replace("ELSE 20 END AS lim", "ELSE 0 END AS lim")}
+    SELECT title, count(*) FILTER (status = 'created') AS n_created, count(DISTINCT url) AS n_urls, count(*) AS n_logged
+    FROM res WHERE status <> 'error' GROUP BY ALL""")
+def _(spark, sf):
+    """Listing pages, half of the articles with a page nobody asked for, and the rest, in three triggers;
+    every article is logged once and every title created once, as in one run (which of the articles of a title is
+    first depends on what arrived first)."""
+    hosts, found = crawl(spark, sf)
+    hosts = stage(hosts.withColumn("posts_per_batch", F.lit("0")), "hosts")
+    folder = f"{shared_folder(spark)}/crawl-{imports.uuid4().hex}"
+    none = spark.createDataFrame([], profiles.S.ATTACHMENTS)
+    listing, half = F.startswith("html", F.lit("<ul>")), F.pmod(F.xxhash64("url"), F.lit(2)) == 0
+    stray = spark.range(1).select(F.lit("http://nobody/asked").alias("url"), F.lit(200).alias("status"), F.lit("<h1>x</h1>").alias("html"))
+    for rows in (found.where(listing), found.where(~listing & half).unionByName(stray), found.where(~listing & ~half)):
+        rows.select("url", "status", "html", F.lit("2024-01-20 02:00:00").cast("timestamp").alias("fetched_at")).write.mode("append").parquet(f"{folder}/pages")
+        imports.import_stream(
+            imports.page_stream(spark, f"{folder}/pages"), hosts, none, f"{folder}/out", f"{folder}/state", run_ts(), today_only=False,
+        ).start().awaitTermination()
+    log = spark.read.parquet(f"{folder}/out/outcomes").where("status <> 'error'")
+    return log.groupBy("title").agg(
+        F.count_if(F.col("status") == "created").alias("n_created"), F.countDistinct("url").alias("n_urls"), F.count("*").alias("n_logged")
+    )

@@ -99,10 +99,13 @@ def post_meta_rows(posts: DataFrame, run_ts: Column, zone: str) -> DataFrame:
     return stamped.unpivot("post_id", keys, "meta_key", "meta_value").where(F.col("meta_value").isNotNull())
 
 
-def thumbnail_rows(posts: DataFrame) -> DataFrame:
-    """The featured image of a post as a metadata row; posts without one have none."""
-    return posts.where(F.col("thumbnail_id") > 0).select(
-        "post_id", F.lit("_thumbnail_id").alias("meta_key"), F.col("thumbnail_id").cast("string").alias("meta_value")
+def image_rows(posts: DataFrame) -> DataFrame:
+    """The featured image of a post as a metadata row: the attachment shown, or the address of an image that is
+    not stored here; posts without one have none."""
+    external = F.col("image_source") == "external"
+    return posts.where(external | (F.col("thumbnail_id") > 0)).select(
+        "post_id", F.when(external, F.lit("source_image_url")).otherwise(F.lit("_thumbnail_id")).alias("meta_key"),
+        F.when(external, F.col("image_url")).otherwise(F.col("thumbnail_id").cast("string")).alias("meta_value"),
     )
 
 
@@ -117,9 +120,39 @@ def export_profiles(profiles: DataFrame) -> DataFrame:
     return profiles.select("profile_key", F.to_json(F.struct(*names)).alias("profile_json"))
 
 
-def append(df: DataFrame, path: str) -> None:
-    """Append rows to a table."""
-    df.write.mode("append").parquet(path)
+def write_parts(parts: dict[str, DataFrame], folder: str, run_id: str) -> bool:
+    """Add a run's rows to the tables under ``folder``, all or none.
+
+    Every table's rows go to a part of their own, and one row in ``runs``, written last, makes them
+    part of the tables (see ``written``). What an interrupted write left is overwritten; a run that is already
+    there is not written again (false)."""
+    spark = next(iter(parts.values())).sparkSession
+    if committed(spark, folder).where(F.col("run") == run_id).take(1):
+        return False
+    for name, rows in parts.items():
+        rows.write.mode("overwrite").parquet(f"{folder}/{name}/run={run_id}")
+    spark.range(1).select(F.lit(len(parts)).alias("n_tables")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/runs/run={run_id}")
+    return True
+
+
+def _stored(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """A table in parts by run, without rows where nothing was written yet."""
+    try:
+        return spark.read.schema(f"{ddl}, run string").parquet(path)
+    except Exception as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], f"{ddl}, run string")
+
+
+def committed(spark: SparkSession, folder: str) -> DataFrame:
+    """``run`` of every complete run."""
+    return _stored(spark, f"{folder}/runs", "n_tables int").where("n_tables > 0").select("run")
+
+
+def written(spark: SparkSession, folder: str, table: str, ddl: str) -> DataFrame:
+    """Rows of a table that complete runs wrote."""
+    return _stored(spark, f"{folder}/{table}", ddl).join(committed(spark, folder), "run", "left_semi").drop("run")
 
 
 def write_pages(pages: DataFrame, table: str, buckets: int) -> None:

@@ -12,7 +12,6 @@ from pagemill import schema as S
 from pagemill.functions.dates import is_today
 from pagemill.functions.urls import normalize_url
 from pagemill.plans.import_run import import_run
-from pagemill.sources.tables import thumbnail_rows
 
 
 def page_stream(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
@@ -38,7 +37,9 @@ def import_stream(
 ) -> DataStreamWriter:
     """Arrivals are added to a page table, and each trigger is one live run over all
     of it: an article is imported once its listing page and itself are there, whichever
-    files and triggers brought them. Batches are delivered at least once, so each is
+    files and triggers brought them. An article that an earlier trigger created or skipped is settled: its page is
+    not read again and nothing more is logged of it. One that failed is tried again, and its failure
+    is logged once. Batches are delivered at least once, so each is
     written under its own ``batch_id`` and replaced when repeated."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -50,16 +51,14 @@ def import_stream(
         batch.write.mode("overwrite").parquet(f"{folder}/arrived/batch_id={batch_id}")
         stored = spark.read.schema(f"{S.PAGES}, batch_id bigint").parquet(f"{folder}/arrived")
         pages = stored.where(F.col("batch_id") <= batch_id).drop("batch_id")
+        log = earlier_batches(spark, folder, "outcomes", "profile_key string, url string, status string, reason string", batch_id)
         result = import_run(
             profiles, pages, known["posts"], known["post_meta"], known["terms"], attachments,
-            run_ts, zone, live=True, today_only=today_only,
+            run_ts, zone, live=True, today_only=today_only, settled=log.where("status <> 'error'").select("profile_key", "url"),
         )
-        written = {
-            "posts": result.posts.drop("profile_key", "thumbnail_id"), 
-            "post_meta": result.post_meta.unionByName(thumbnail_rows(result.posts)),
-            "terms": result.new_terms, "post_terms": result.post_terms, "outcomes": result.outcomes,
-        }
-        for table, rows in written.items():
+        failed = log.where("status = 'error'").select("profile_key", "url", "status", "reason").distinct()
+        new = result.outcomes.join(failed, ["profile_key", "url", "status", "reason"], "left_anti")
+        for table, rows in (result.tables() | {"outcomes": new.select(*result.outcomes.columns)}).items():
             rows.write.mode("overwrite").parquet(f"{folder}/{table}/batch_id={batch_id}")
 
     return (
