@@ -128,7 +128,8 @@ def _groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Ta
 
 
 def _sets(docs: DataFrame, similarity: float, repeats: int, depth: int) -> DataFrame:
-    """``uid, doc_id, n, sig, sketch, picks`` of every row; picks of run r at level l at ``r * depth + l``."""
+    """``uid, doc_id, body, n, sig, sketch, picks`` of every row; picks of run r at level l at ``r * depth + l``;
+    ``body`` is a hash of the text."""
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -136,15 +137,15 @@ def _sets(docs: DataFrame, similarity: float, repeats: int, depth: int) -> DataF
                 sets = text_sets(batch["text"])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch["uid"], batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()),
+                        batch["uid"], batch["doc_id"], batch["body"], pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([signature(s) for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary()),
                         pa.array([picks(s, similarity, repeats * depth) if len(s) else [] for s in sets], pa.list_(pa.list_(pa.int64()))),
                     ],
-                    ["uid", "doc_id", "n", "sig", "sketch", "picks"],
+                    ["uid", "doc_id", "body", "n", "sig", "sketch", "picks"],
                 )
 
-    return docs.select("uid", "doc_id", "text").mapInArrow(
-        answer, "uid long, doc_id long, n long, sig binary, sketch binary, picks array<array<long>>"
+    return docs.select("uid", "doc_id", "text", F.xxhash64("text").alias("body")).mapInArrow(
+        answer, "uid long, doc_id long, body long, n long, sig binary, sketch binary, picks array<array<long>>"
     )
 
 
@@ -268,11 +269,13 @@ def near_duplicates(
     loose = components(stage(links, "links"))
     sizes = loose.groupBy("class_id").agg(F.count("*").alias("m"))
     # sets of the candidates only, once for every block they are compared with
-    members = loose.join(sizes, "class_id").join(chosen.select(F.col("uid").alias("id"), "doc_id", "sig"), "id").select(
-        F.col("id").alias("member"), F.col("doc_id").alias("_doc"), "sig", F.col("class_id").alias("comp"),
+    members = loose.join(sizes, "class_id").join(chosen.select(F.col("uid").alias("id"), "doc_id", "body", "sig"), "id").select(
+        F.col("id").alias("member"), F.col("doc_id").alias("_doc"), "body", "sig", F.col("class_id").alias("comp"),
         F.ceil(F.col("m") / block).cast("int").alias("blocks"),
     ).withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
-    texts = rows.select("doc_id", "text").join(members, F.col("doc_id").eqNullSafe(F.col("_doc"))).select(
+    # very many rows may share an identifier, or have none: only those with the same text meet
+    bodies = rows.select("doc_id", "text", F.xxhash64("text").alias("_body"))
+    texts = bodies.join(members, (F.col("_body") == F.col("body")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).select(
         F.col("member").alias("uid"), "comp", "blocks", "block", "sig", "text"
     )
 

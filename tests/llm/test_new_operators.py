@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from pagemill.llm import line_dedup, spelling, vector_codes
+from pagemill.llm import jaccard_join, line_dedup, mixing, spelling, vector_codes
 
 # ---- vector codes ------------------------------------------------------------
 
@@ -175,3 +175,44 @@ def test_runs_are_compacted_by_level(spark):
     assert [len(level) for level in runs.levels] == [1, 0, 1]
     assert [tuple(r) for r in runs.common().collect()] == [(7, 7)]
     runs.close()
+
+
+# ---- earlier operators on skewed tables -----------------------------------------
+
+
+def mixed_table(spark, sizes):
+    rng = random.Random(5)
+    rows = [(s, n) for s, (rows, n) in sizes.items() for _ in range(rows)]
+    texts = [(i, " ".join(rng.choice(["word", "other", "third"]) for _ in range(n)), s) for i, (s, n) in enumerate(rows)]
+    return spark.createDataFrame(texts, "doc_id long, text string, source string")
+
+
+@pytest.mark.parametrize("sizes", [
+    {"hot": (500, 40), "mid": (300, 40), "low": (150, 40), "rare": (45, 40), "tiny": (5, 40)},
+    {"book": (20, 2000), "web": (300, 60), "note": (200, 20), "mail": (80, 50)},
+])
+def test_mix_reaches_every_target(spark, sizes):
+    out = mixing.mixing_rates(mixed_table(spark, sizes), trust=0.9999).select("domain", "target_tokens", "reached_tokens").distinct().collect()
+    assert {r.domain for r in out} == set(sizes)
+    assert all(abs(r.reached_tokens - r.target_tokens) < 0.01 * r.target_tokens for r in out)
+    weights = {s: float(a * b) ** mixing.FLATTEN for s, (a, b) in sizes.items()}
+    total = sum(r.target_tokens for r in out)
+    assert all(r.target_tokens / total == pytest.approx(weights[r.domain] / sum(weights.values())) for r in out)
+
+
+def test_tail_of_sources_is_one_domain(spark):
+    docs = mixed_table(spark, {f"s{i}": (2, 10 + i) for i in range(12)})
+    marks = docs.withColumn("tokens", mixing.features(docs["text"])["tokens"])
+    some = mixing.natural_targets(marks, most=4)
+    assert set(some) == {"s11", "s10", "s9", mixing.OTHERS} and sum(some.values()) == pytest.approx(1)
+    assert some[mixing.OTHERS] > 0.6
+
+
+def test_near_copies_without_identifiers(spark):
+    rng = random.Random(6)
+    rows = []
+    for _ in range(500):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+        rows += [(None, " ".join(words)), (None, " ".join([*words[:-1], "end"]))]
+    out = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == 1000 and sum(r.kept for r in out) == 500 and all(r.n_links == 1 for r in out)
