@@ -103,8 +103,7 @@ def test_overrides_and_second_run(spark, world):
     """A limit of one takes one item; the next run goes on after it."""
     only = spark.createDataFrame([("s", None, None, "1", "draft")], "profile_key string, start_page string, max_pages string, posts_per_batch string, status string")
     folder = tempfile.mkdtemp(prefix="pagemill-test-")
-    for name in ("posts", "meta", "terms"):
-        tables.append(world[name], f"{folder}/{'post_meta' if name == 'meta' else name}")
+    tables.write_parts({"posts": world["posts"], "post_meta": world["meta"], "terms": world["terms"]}, folder, "before")
     first = run(world, live=True, overrides=only)
     assert [k for k, v in log(first).items() if v[0] == "created" and k[0] == "s"] == [("s", "http://s.com/a")]
     assert write_run(first, folder, "one") and not write_run(first, folder, "one")
