@@ -9,12 +9,12 @@ digits). A document without a label gets its domains from the text alone.
 Rates, how many copies of a document the mix expects, are then fitted by projected
 gradient: least squares of the domains' expected tokens, ``sum_d rate_d * tokens_d * p_d``, against their targets,
 each domain's error relative to what it has, over rates of at least ``floor``. Gradient steps add up in one number for each domain,
-and rates are the projection of one plus a document's share in them (lazy projection), so a step is one sum over the distinct
+and rates are the projection of one plus a document's share in them (projected gradient with lazy projection), so a step is one sum over the distinct
 marks and moves as many numbers as there are domains. With errors relative to what a domain has, steps of length one always converge, for small
-domains as for large ones. Steps end when every domain is within ``close`` of its target, or when they no longer help;
+domains as for large ones. Steps end when every domain is within ``close`` of its target, or after ``steps``;
 ``target_tokens`` and ``reached_tokens`` of a document's domain tell what came out. The sum of targets is the
 smallest total at which no document needs less than one copy, so nothing that earlier steps kept
-is lost: documents of domains that are short get more copies, as many as that takes. A fractional rate is rounded
+is lost (when copies of others bring a domain above its share, the total grows): documents of domains that are short get more copies, as many as that takes. A fractional rate is rounded
 by the hash of the identifier.
 
 Without given targets, every source is to have its share of all tokens to the power ``flatten``, made to add up to one. Sources beyond the
@@ -39,8 +39,8 @@ from pagemill.operators.staging import stage
 
 TRUST = 0.95
 FLATTEN = 0.9
-#: Relative error that ends the fit, and the most steps when it isn't reached.
-CLOSE, STEPS = 0.002, 200
+#: Relative error that ends the fit, the most steps when it isn't reached, and steps without progress until the total grows.
+CLOSE, STEPS, PATIENCE = 0.002, 200, 3
 DOMAINS = 256
 OTHERS = "(other sources)"
 FEATURES = ("label", "length", "word", "beyond", "lines", "digits")
@@ -129,7 +129,8 @@ def fit_rates(
         return F.greatest(F.lit(float(floor)), 1 + share)
 
     def reached(pulls: list[float]) -> list[float]:
-        got = marks.agg(*[F.sum(rate(pulls) * F.col("tokens") * F.col("p")[i]).alias(f"d{i}") for i in range(k)]).first()
+        rated = marks.select("p", (rate(pulls) * F.col("tokens")).alias("expected"))
+        got = rated.agg(*[F.sum(F.col("expected") * F.col("p")[i]).alias(f"d{i}") for i in range(k)]).first()
         return [float(x or 0.0) for x in got]
 
     pulls = [0.0] * k
@@ -146,12 +147,17 @@ def fit_rates(
 
     best, since = (worst(got), pulls, got), 0
     for _ in range(steps):
-        if best[0] < close or since == 20:
+        if best[0] < close:
             break
+        if since == PATIENCE:
+            # a domain has too much even without copies of its own: a larger total makes room for it
+            total = max((g / w for g, w in zip(best[2], weights, strict=True) if w > 0), default=total)
+            target = [total * w for w in weights]
+            best, since = (worst(best[2]), best[1], best[2]), 0
         pulls = [x - (g - t) / n if n > 0 else x for x, g, t, n in zip(pulls, got, target, now, strict=True)]
         got = reached(pulls)
         since += 1
-        if worst(got) < 0.999 * best[0]:
+        if worst(got) < 0.99 * best[0]:
             best, since = (worst(got), pulls, got), 0
     return marks.withColumn("rate", rate(best[1])), target, best[2]
 
