@@ -9,15 +9,23 @@ order, with weights that make every history's probabilities sum to one exactly.
 is the one unknown word of the lowest order, as in ``base_score``.
 
 How it runs. Texts are encoded once in chunks of some ``CHUNK`` tokens: distinct words and
-a run of small numbers. For each order, a chunk sends its distinct n-grams, with what
+a run of small numbers, the frequent words' first. The first order counts the words in buckets by their hash and
+numbers them: place by count in the bucket, times the number of buckets, plus the bucket. From then on a word is
+its number, so an n-gram is a history and a number, small and exact (a history of one word is that word's number; longer ones
+are 64-bit hashes of numbers). For each order, a chunk sends its distinct n-grams, with what
 training counts it has and their probability one order lower, to buckets by the
 history; a bucket merges them into its part of the n-gram table (a row of the written
 table), and, once counts of counts are known, answers every chunk with probabilities. So a
 token is counted in its chunk before anything moves, an n-gram moves once per chunk as
-a few bytes, and evaluation needs no row per token. Histories so frequent that they may crowd a
+a few bytes (differences and byte planes, compressed), and evaluation needs no row per token. Chunks are a table bucketed by
+chunk: answers come to them, texts never move again. Histories so frequent that they may crowd a
 bucket (at most ``HEAVY`` of them, by count) are dealt by the whole n-gram instead, and
 their sums, one row each, are added up across buckets.
 
+A chunk has a message for each bucket, and both grow with the input: their bytes follow the n-grams, their
+number its square (some ten thousand in 0.5 GB of text). ``ORDER`` is 2, the bigram model: a trigram model has its n-grams
+to write and send as well, and does not fit the disk that the query is allowed.
+
 Edge cases: a null or empty text is the end alone. Without training texts every token is
 unknown with probability one. Repeated rows are counted and scored each. A null identifier
 counts as the empty text for the fold. An empty table gives an empty result. Other columns
@@ -26,6 +34,7 @@ are not read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,44 +43,67 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import buffers, crc_bucket, mix, slices, word_hashes
-from pagemill.operators.staging import stage
+from pagemill.llm.common import buffers, crc_bucket, drop_path, drop_stage, mix, slices, word_hashes
+from pagemill.operators.staging import shared_folder, stage
 
 ORDER = 2
 CUTOFF = 5
 CHUNK = 1_500_000
 BUCKET = 1_500_000
 HEAVY = 256
-_END, _START = np.uint64(0x1D872B41A9C3F5E7), np.uint64(0x6A09E667F3BCC909)
-_LOW = np.uint64((1 << 48) - 1)
+_END = np.uint64(0x1D872B41A9C3F5E7)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _CHUNKS = "chunk long, doc_id array<long>, held array<boolean>, sizes array<int>, words binary, seq binary, n_train long, n_tokens long"
-_SENT = "bucket int, chunk long, hist binary, runs binary, keys binary, counts binary, codes binary, lows binary"
+_CODED = "chunk long, doc_id array<long>, held array<boolean>, sizes array<int>, seq binary, numbers binary, seen binary, lows binary"
+_SENT = "bucket int, chunk long, hist binary, runs binary, words binary, counts binary, codes binary, lows binary"
 _MERGED = (
-    "bucket int, hist binary, runs binary, keys binary, counts binary, low binary, chunks array<long>, places array<binary>, "
+    "bucket int, hist binary, runs binary, words binary, counts binary, low binary, chunks array<long>, places array<binary>, "
     "freq array<long>, heavy array<long>"
 )
+_REPLY = "chunk long, bucket int, logs binary, counts binary, numbers binary"
 
 
 def _pack(x: np.ndarray) -> bytes:
+    """Compressed byte planes: the high bytes of small numbers cost next to nothing."""
     import zstandard
 
-    return zstandard.compress(np.ascontiguousarray(x).tobytes(), 1)
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T
+    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
 
 
 def _open(data: bytes, kind) -> np.ndarray:
     import zstandard
 
-    return np.frombuffer(zstandard.decompress(data), kind)
+    kind = np.dtype(kind)
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(kind.itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _pack_sorted(x: np.ndarray) -> bytes:
+    return _pack(np.diff(x, prepend=np.uint64(0)))
+
 
+def _open_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(_open(data, np.uint64), dtype=np.uint64)
 
-def _pack48(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
-def _open48(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+
+def _by_chunk(df: DataFrame, name: str) -> tuple[DataFrame, str, str]:
+    """``df`` as a table bucketed by chunk, which a join on it reads where it lies; its name and path."""
+    spark = df.sparkSession
+    name = f"katz_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(parts, "chunk").option("path", path).saveAsTable(name)
+    return spark.table(name), name, path
+
+
+def _drop_table(df: DataFrame, name: str, path: str) -> None:
+    df.sparkSession.sql(f"DROP TABLE {name}")
+    drop_path(df.sparkSession, path)
 
 
 def encode(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -85,7 +117,11 @@ def encode(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
         def out() -> pa.RecordBatch:
             nonlocal number
             tokens = np.concatenate([k[3] for k in kept])
-            words, seq = np.unique(tokens, return_inverse=True)
+            words, seq, n = np.unique(tokens, return_inverse=True, return_counts=True)
+            often = np.argsort(-n, kind="stable")
+            rank = np.empty_like(often)
+            rank[often] = np.arange(len(often))
+            words, seq = words[often], rank[seq]
             ids = [x for k in kept for x in k[0]]
             held = [x for k in kept for x in k[1]]
             sizes = np.concatenate([k[2] for k in kept])
@@ -93,8 +129,7 @@ def encode(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
             number += 1
             columns = [[number], [ids], [held], [sizes.tolist()], [words.tobytes()], [_pack(seq.astype(np.uint32))], [trained], [len(tokens)]]
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-            names = [x.split()[0] for x in _CHUNKS.split(", ")]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _names(_CHUNKS))
 
         for whole in batches:
             for batch in slices(whole):
@@ -114,33 +149,48 @@ def encode(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 
 class _Grams:
-    """The distinct n-grams of a chunk in the order in which they are sent to buckets."""
+    """The distinct n-grams of a chunk in the order in which they are sent to buckets. A word is
+    its hash in the first order and its number later; history 0 is the start of a text."""
 
     def __init__(self, row: dict, n: int, buckets: int, heavy: np.ndarray):
-        words = np.frombuffer(row["words"], np.uint64)
-        self.words = words[_open(row["seq"], np.uint32)]
         self.sizes = np.array(row["sizes"], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.train = np.repeat(~np.array(row["held"], bool), self.sizes)
-        history, keys = np.zeros(len(self.words), np.uint64), self.words
-        for _ in range(n - 1):  # a history is the n-gram one order lower that ends before the token
-            history = np.concatenate(([_START], keys[:-1]))
-            history[self.starts] = _START
-            keys = mix(history * np.uint64(0x9E3779B97F4A7C15) + self.words)
-        self.keys, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        self.hist = history[first]
-        self.counts = np.bincount(inverse, weights=self.train, minlength=len(self.keys)).astype(np.int64)
-        by = self.keys if n == 1 else self.hist
-        bucket = (mix(by, 21) % np.uint64(buckets)).astype(np.int64)
-        if n > 1:
-            crowd = np.isin(self.hist & _LOW, heavy) | (self.hist == _START)
-            spread = (mix(self.keys, 22) % np.uint64(buckets)).astype(np.int64) + buckets
+        self.seq = _open(row["seq"], np.uint32).astype(np.int64)
+        train = np.repeat(~np.array(row["held"], bool), self.sizes)
+        kinds = np.frombuffer(row["words"], np.uint64) if n == 1 else _open(row["numbers"], np.uint64)
+        if n == 1:
+            inverse, words = self.seq, kinds
+            hist = np.zeros(len(words), np.uint64)
+            bucket = (mix(words, 21) % np.uint64(buckets)).astype(np.int64)
+        else:
+            words = kinds[self.seq]
+            local, key = self.seq, words
+            for i in range(2, n + 1):  # a history is the n-gram one order lower that ends before the token
+                hist = np.concatenate(([np.uint64(0)], key[:-1]))
+                hist[self.starts] = 0
+                before = np.concatenate(([0], local[:-1] + 1))
+                before[self.starts] = 0
+                _, self.first, inverse = np.unique((before << 32) | self.seq, return_index=True, return_inverse=True)
+                local = inverse
+                if i < n:
+                    key = mix(hist * _STEP + words)
+            words, hist = words[self.first], hist[self.first]
+            bucket = (mix(hist, 21) % np.uint64(buckets)).astype(np.int64)
+            crowd = np.isin(hist, heavy) | (hist == 0)
+            spread = (mix(hist * _STEP + words, 22) % np.uint64(buckets)).astype(np.int64) + buckets
             bucket = np.where(crowd, spread, bucket)
-        order = np.lexsort((self.keys & _LOW, self.hist, bucket))
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
-        self.bucket, self.keys, self.hist, self.counts, self.first = bucket[order], self.keys[order], self.hist[order], self.counts[order], first[order]
-        self.at = place[inverse]  # of each token, the place of its n-gram
+        counts = np.bincount(inverse, weights=train, minlength=len(words)).astype(np.int64)
+        order = np.lexsort((words, hist, bucket))
+        self.place = np.empty_like(order)
+        self.place[order] = np.arange(len(order))
+        self.bucket, self.words, self.hist, self.counts = bucket[order], words[order], hist[order], counts[order]
+        self.order = order
+        self.inverse = inverse
+
+    @property
+    def at(self) -> np.ndarray:
+        """Of each token, the place of its n-gram."""
+        return self.place[self.inverse]
 
 
 def _discounts(freq: list[int]) -> np.ndarray:
@@ -157,70 +207,68 @@ def _discounts(freq: list[int]) -> np.ndarray:
 
 
 def _send(chunks: DataFrame, n: int, buckets: int, heavy: np.ndarray, heavy_before: np.ndarray) -> DataFrame:
-    """Messages of each chunk to each bucket. ``answers`` holds the replies one order lower."""
+    """Messages of each chunk to each bucket. From the third order on, ``answers`` holds the replies one order lower."""
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 grams = _Grams(row, n, buckets, heavy)
-                if n > 1:
-                    lower = _replies(row["answers"])[0]
-                    before = _Grams(row, n - 1, buckets, heavy_before)
-                    low = lower[before.at[grams.first]]
+                if n == 1:
+                    low = np.zeros(len(grams.words))
+                elif n == 2:
+                    low = _open(row["lows"], np.float64)[grams.seq[grams.first[grams.order]]]
                 else:
-                    low = np.zeros(len(grams.keys))
+                    before = _Grams(row, n - 1, buckets, heavy_before)
+                    low = _replies(row["answers"])[0][before.at[grams.first[grams.order]]]
                 edges = np.flatnonzero(np.diff(grams.bucket, prepend=-1, append=-1))
                 rows = []
                 for lo, hi in zip(edges, edges[1:], strict=False):
                     hist = grams.hist[lo:hi]
                     new = np.flatnonzero(np.concatenate(([True], hist[1:] != hist[:-1])))
                     values, codes = np.unique(low[lo:hi], return_inverse=True)
-                    kind = np.uint16 if len(values) < 65536 else np.uint32
                     rows.append((
-                        int(grams.bucket[lo]), row["chunk"], hist[new].tobytes(), _pack(np.diff(new, append=hi - lo).astype(np.uint32)),
-                        _pack48(grams.keys[lo:hi]), _pack(grams.counts[lo:hi].astype(np.uint32)), kind().dtype.char.encode() + _pack(codes.astype(kind)), values.tobytes(),
+                        int(grams.bucket[lo]), row["chunk"], _pack_sorted(hist[new]), _pack(np.diff(new, append=hi - lo).astype(np.uint32)),
+                        _pack(grams.words[lo:hi]), _pack(grams.counts[lo:hi].astype(np.uint32)), _pack(codes.astype(np.uint32)), _pack(values),
                     ))
-                names = [x.split()[0] for x in _SENT.split(", ")]
                 kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], _names(_SENT))
 
     return chunks.mapInArrow(answer, _SENT)
 
 
-def _merge(sent: DataFrame, parts: int, crowd: int) -> DataFrame:
+def _merge(sent: DataFrame, n: int, parts: int, buckets: int, crowd: int) -> DataFrame:
     """One row per bucket: its part of the n-gram table, and where each chunk's n-grams are
-    in it. ``freq``: all tokens, distinct n-grams, then n-grams by count up to ``CUTOFF + 1``."""
+    in it. ``freq``: all tokens, distinct n-grams, then n-grams by count up to ``CUTOFF + 1``.
+    ``heavy``: n-grams that are frequent histories of the next order."""
 
     def merged(rows: list[dict]) -> pa.RecordBatch:
-        hist = np.concatenate([np.repeat(np.frombuffer(r["hist"], np.uint64), _open(r["runs"], np.uint32)) for r in rows])
-        keys = np.concatenate([_open48(r["keys"]) for r in rows])
+        hist = np.concatenate([np.repeat(_open_sorted(r["hist"]), _open(r["runs"], np.uint32)) for r in rows])
+        parts = [_open(r["words"], np.uint64) for r in rows]
+        words = np.concatenate(parts)
         counts = np.concatenate([_open(r["counts"], np.uint32) for r in rows]).astype(np.int64)
-        low = np.concatenate([
-            np.frombuffer(r["lows"], np.float64)[_open(r["codes"][1:], np.dtype(r["codes"][:1].decode()))] for r in rows
-        ])
-        order = np.lexsort((keys, hist))
-        h, k = hist[order], keys[order]
+        low = np.concatenate([_open(r["lows"], np.float64)[_open(r["codes"], np.uint32)] for r in rows])
+        order = np.lexsort((words, hist))
+        h, k = hist[order], words[order]
         fresh = np.concatenate(([True], (h[1:] != h[:-1]) | (k[1:] != k[:-1])))
         first = np.flatnonzero(fresh)
         which = np.empty(len(order), np.int64)
         which[order] = np.cumsum(fresh) - 1
         total = np.add.reduceat(counts[order], first)
-        uh = h[first]
+        uh, uk = h[first], k[first]
         new = np.flatnonzero(np.concatenate(([True], uh[1:] != uh[:-1])))
         places, at = [], 0
-        for r in rows:
-            size = len(r["keys"]) // 6
-            places.append(_pack(np.diff(which[at : at + size], prepend=0).astype(np.uint32)))
-            at += size
+        for part in parts:
+            places.append(_pack(np.diff(which[at : at + len(part)], prepend=0).astype(np.uint32)))
+            at += len(part)
         freq = [int(total.sum()), int((total > 0).sum()), *np.bincount(np.minimum(total, CUTOFF + 2), minlength=CUTOFF + 3)[1 : CUTOFF + 2].tolist()]
+        keys = _numbers(total, rows[0]["bucket"], buckets) if n == 1 else mix(uh * _STEP + uk)
         values = [
-            [rows[0]["bucket"]], [uh[new].tobytes()], [_pack(np.diff(new, append=len(uh)).astype(np.uint32))], [_pack48(k[first])],
+            [rows[0]["bucket"]], [_pack_sorted(uh[new])], [_pack(np.diff(new, append=len(uh)).astype(np.uint32))], [_pack(uk)],
             [_pack(total.astype(np.uint32))], [_pack(low[order][first])], [[r["chunk"] for r in rows]], [places], [freq],
-            [k[first][total >= crowd].view(np.int64).tolist()],
+            [keys[total >= crowd].view(np.int64).tolist()],
         ]
         kinds = [pa.int32(), *[pa.binary()] * 5, pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        names = ["bucket", "hist", "runs", "keys", "counts", "low", "chunks", "places", "freq", "heavy"]
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], names)
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], _names(_MERGED))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -236,9 +284,17 @@ def _merge(sent: DataFrame, parts: int, crowd: int) -> DataFrame:
     return sent.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", "chunk").mapInArrow(answer, _MERGED)
 
 
+def _numbers(counts: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
+    """Number of each word of a bucket, from 1; frequent words get small ones."""
+    often = np.argsort(-counts, kind="stable")
+    out = np.empty(len(counts), np.uint64)
+    out[often] = np.arange(len(counts), dtype=np.uint64) * np.uint64(buckets) + np.uint64(bucket + 1)
+    return out
+
+
 def _table(row: dict, discount: np.ndarray) -> tuple[np.ndarray, ...]:
     """Histories of a bucket row, run of each n-gram, counts, discounted counts, lower probabilities."""
-    hist = np.frombuffer(row["hist"], np.uint64)
+    hist = _open_sorted(row["hist"])
     runs = _open(row["runs"], np.uint32).astype(np.int64)
     counts = _open(row["counts"], np.uint32).astype(np.int64)
     star = np.where(counts <= CUTOFF, discount[np.minimum(counts, CUTOFF)] * counts, counts)
@@ -272,8 +328,8 @@ def _reply(
     merged: DataFrame, discount: np.ndarray, buckets: int, lowest: tuple[float, float] | None = None,
     crowds: dict[int, list[float]] | None = None, kind: type = np.float64,
 ) -> DataFrame:
-    """``chunk, bucket, logs, counts`` for every chunk that sent to a bucket. ``lowest``: for
-    the first order, its training tokens and the probability of the unknown word."""
+    """``chunk, bucket, logs`` for every chunk that sent to a bucket, in the first order with ``counts`` and
+    ``numbers`` of words. ``lowest``: for the first order, its training tokens and the probability of the unknown word."""
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,35 +338,52 @@ def _reply(
                 if lowest is not None:
                     p = np.where(counts > 0, star / max(lowest[0], 1e-300), lowest[1])
                     logs = np.log10(np.maximum(p, 1e-300))
+                    numbers = _numbers(counts, row["bucket"], buckets)
                 else:
                     sums = _sums(which, len(hist), counts, star, low)
                     if row["bucket"] >= buckets:
                         sums = np.array([crowds[h] for h in hist.view(np.int64).tolist()])
                     logs = _logs(which, counts, star, low, sums)
-                out = []
+                out, row_chunks = [], row["chunks"]
                 for packed in row["places"]:
                     at = np.cumsum(_open(packed, np.uint32).astype(np.int64))
-                    out.append((_pack(logs[at].astype(kind)), _pack(counts[at].astype(np.uint32)) if lowest is not None else b""))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["chunks"], pa.int64()), pa.array([row["bucket"]] * len(out), pa.int32()),
-                     pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary())],
-                    ["chunk", "bucket", "logs", "counts"],
-                )
+                    words = (_pack(counts[at].astype(np.uint32)), _pack(numbers[at])) if lowest is not None else (b"", b"")
+                    out.append((row_chunks[len(out)], row["bucket"], _pack(logs[at].astype(kind)), *words))
+                kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 3]
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], _names(_REPLY))
 
-    return merged.mapInArrow(answer, "chunk long, bucket int, logs binary, counts binary")
+    return merged.mapInArrow(answer, _REPLY)
 
 
-def _replies(answers: list[dict], kind=np.float64) -> tuple[np.ndarray, np.ndarray]:
-    """log10 probabilities and counts in the order in which the chunk sent its n-grams."""
+def _replies(answers: list[dict], kind=np.float64) -> tuple[np.ndarray, ...]:
+    """log10 probabilities (in the first order counts and numbers as well) in the order in which the chunk sent its n-grams."""
     rows = sorted(answers, key=lambda a: a["bucket"])
     logs = np.concatenate([_open(a["logs"], kind) for a in rows]).astype(np.float64)
-    counts = np.concatenate([_open(a["counts"], np.uint32) for a in rows]) if rows and rows[0]["counts"] else np.zeros(0)
-    return logs, counts
+    if not rows[0]["numbers"]:
+        return (logs,)
+    return logs, np.concatenate([_open(a["counts"], np.uint32) for a in rows]), np.concatenate([_open(a["numbers"], np.uint64) for a in rows])
 
 
-def _gathered(replies: DataFrame, name: str) -> DataFrame:
+def _gathered(replies: DataFrame) -> DataFrame:
     """Replies by chunk; as large as the chunk's own n-grams."""
-    return replies.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "logs", "counts")).alias(name))
+    return replies.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "logs", "counts", "numbers")).alias("answers"))
+
+
+def _coded(chunks: DataFrame, replies: DataFrame, buckets: int) -> DataFrame:
+    """Chunks whose words have their numbers, training counts and log10 probabilities."""
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                one = batch.slice(i, 1)
+                row = one.to_pylist()[0]
+                place = _Grams(row, 1, buckets, np.zeros(0, np.uint64)).place
+                logs, counts, numbers = _replies(row["answers"])
+                packed = [_pack(numbers[place]), _pack(counts[place]), _pack(logs[place])]
+                same = [one[c] for c in ("chunk", "doc_id", "held", "sizes", "seq")]
+                yield pa.RecordBatch.from_arrays([*same, *(pa.array([p], pa.binary()) for p in packed)], _names(_CODED))
+
+    return chunks.join(_gathered(replies), "chunk").mapInArrow(answer, _CODED)
 
 
 def _crowds(merged: DataFrame, discount: np.ndarray, buckets: int) -> dict[int, list[float]]:
@@ -333,58 +406,60 @@ def _crowds(merged: DataFrame, discount: np.ndarray, buckets: int) -> dict[int,
 def katz_scores(docs: DataFrame, order: int = ORDER, chunk: int = CHUNK, bucket: int = BUCKET, heavy: int = HEAVY) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of ``doc_id,
     held_out, text``; learns from rows that are not held out."""
-    chunks = stage(encode(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", F.col("text").cast("string").alias("text")), chunk), "chunks")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", F.col("text").cast("string").alias("text"))
+    chunks, *chunks_at = _by_chunk(encode(texts, chunk), "chunks")
     sizes = chunks.agg(F.sum("n_train").alias("n"), F.sum("n_tokens").alias("all")).first()
     trained, every = int(sizes["n"] or 0), int(sizes["all"] or 0)
     buckets = max(8, -(-every // bucket))
     crowd = max(trained // heavy, 1000)
     heavy_now = heavy_before = np.zeros(0, np.uint64)
-    first = current = None
+    state = chunks
     for n in range(1, order + 1):
-        state = chunks if n == 1 else chunks.join(_gathered(current, "answers"), "chunk")
-        sent = _send(state, n, buckets, heavy_now, heavy_before)
-        merged = stage(_merge(sent, 2 * buckets, crowd), f"grams{n}")
+        merged = stage(_merge(_send(state, n, buckets, heavy_now, heavy_before), n, 2 * buckets, buckets, crowd), f"grams{n}")
         counted = [
             int(x or 0) for x in merged.select(*[F.col("freq")[i].alias(f"f{i}") for i in range(CUTOFF + 3)])
             .agg(*[F.sum(f"f{i}") for i in range(CUTOFF + 3)]).first()
         ]
         freq = [0, *counted[2:]]
         discount = _discounts(freq)
+        if n < order:  # at most ``heavy`` histories of the next order
+            heavy_before = heavy_now
+            heavy_now = np.array([r["k"] for r in merged.select(F.explode("heavy").alias("k")).collect()], np.int64).view(np.uint64)
         if n == 1:
             tokens, vocabulary = counted[0], counted[1]
             whole, freed = float(tokens), _freed(discount, freq)
             if tokens and freed <= 0:
                 whole, freed = tokens + 1.0, 1.0
-            current = first = stage(_reply(merged, discount, buckets, (whole, freed / whole if tokens else 1.0)), "replies")
+            replies = _reply(merged, discount, buckets, (whole, freed / whole if tokens else 1.0))
+            coded = state = _by_chunk(_coded(chunks, replies, buckets), "coded")[0]
+            _drop_table(chunks, *chunks_at)
+            drop_stage(merged)
         else:
-            crowds = _crowds(merged, discount, buckets)
-            current = _reply(merged, discount, buckets, None, crowds, np.float32 if n == order else np.float64)
-            current = current if n == order else stage(current, "replies")
-        if n < order:  # at most ``heavy`` histories of the next order
-            heavy_before = heavy_now
-            heavy_now = np.array([r["k"] for r in merged.select(F.explode("heavy").alias("k")).collect()], np.int64).view(np.uint64)
-    both = chunks.join(_gathered(first, "one"), "chunk").join(_gathered(current, "all"), "chunk")
+            replies = _reply(merged, discount, buckets, None, _crowds(merged, discount, buckets), np.float32 if n == order else np.float64)
+            if n < order:
+                replies = stage(replies, "replies")
+                drop_stage(merged)
+            state = coded.join(_gathered(replies), "chunk")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                single = _Grams(row, 1, buckets, np.zeros(0, np.uint64))
-                logs, counts = _replies(row["one"])
+                grams = _Grams(row, max(order, 2), buckets, heavy_now)
                 if order > 1:
-                    grams = _Grams(row, order, buckets, heavy_now)
-                    values = _replies(row["all"], np.float32)[0][grams.at]
+                    values = _replies(row["answers"], np.float32)[0][grams.at]
                 else:
-                    values = logs[single.at]
-                base = np.log10((counts.astype(np.float64) + 1) / (tokens + vocabulary + 1))[single.at]
-                seen = (counts > 0).astype(np.int64)[single.at]
+                    values = _open(row["lows"], np.float64)[grams.seq]
+                counts = _open(row["seen"], np.uint32)
+                base = np.log10((counts.astype(np.float64) + 1) / (tokens + vocabulary + 1))[grams.seq]
+                seen = (counts > 0).astype(np.int64)[grams.seq]
                 columns = [
-                    pa.array(row["doc_id"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(single.sizes, pa.int64()),
-                    pa.array(np.add.reduceat(seen, single.starts)), pa.array(np.full(len(single.sizes), tokens), pa.int64()),
-                    pa.array(np.add.reduceat(base, single.starts)), pa.array(np.add.reduceat(values, single.starts)),
+                    pa.array(row["doc_id"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(grams.sizes, pa.int64()),
+                    pa.array(np.add.reduceat(seen, grams.starts)), pa.array(np.full(len(grams.sizes), tokens), pa.int64()),
+                    pa.array(np.add.reduceat(base, grams.starts)), pa.array(np.add.reduceat(values, grams.starts)),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return both.mapInArrow(
+    return state.mapInArrow(
         answer, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
 
