@@ -48,7 +48,7 @@ from pagemill.operators.staging import shared_folder, stage
 
 ORDER = 2
 CUTOFF = 5
-CHUNK = 1_500_000
+CHUNK = 1_000_000
 BUCKET = 1_500_000
 HEAVY = 256
 _END = np.uint64(0x1D872B41A9C3F5E7)
@@ -91,6 +91,13 @@ def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one at a time: a row is a chunk or a bucket, and its columns are large."""
+    for batch in batches:
+        for i in range(len(batch)):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _by_chunk(df: DataFrame, name: str) -> tuple[DataFrame, str, str]:
     """``df`` as a table bucketed by chunk, which a join on it reads where it lies; its name and path."""
     spark = df.sparkSession
@@ -155,7 +162,7 @@ class _Grams:
     def __init__(self, row: dict, n: int, buckets: int, heavy: np.ndarray):
         self.sizes = np.array(row["sizes"], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.seq = _open(row["seq"], np.uint32).astype(np.int64)
+        self.seq = _open(row["seq"], np.uint32)
         train = np.repeat(~np.array(row["held"], bool), self.sizes)
         kinds = np.frombuffer(row["words"], np.uint64) if n == 1 else _open(row["numbers"], np.uint64)
         if n == 1:
@@ -163,18 +170,25 @@ class _Grams:
             hist = np.zeros(len(words), np.uint64)
             bucket = (mix(words, 21) % np.uint64(buckets)).astype(np.int64)
         else:
-            words = kinds[self.seq]
-            local, key = self.seq, words
-            for i in range(2, n + 1):  # a history is the n-gram one order lower that ends before the token
-                hist = np.concatenate(([np.uint64(0)], key[:-1]))
-                hist[self.starts] = 0
-                before = np.concatenate(([0], local[:-1] + 1))
-                before[self.starts] = 0
-                _, self.first, inverse = np.unique((before << 32) | self.seq, return_index=True, return_inverse=True)
-                local = inverse
+            # a history is the n-gram one order lower that ends before the token
+            local, key = self.seq, kinds[self.seq] if n > 2 else None
+            for i in range(2, n + 1):
+                pair = np.zeros(len(self.seq), np.int64)
+                pair[1:] = local[:-1]
+                pair[1:] += 1
+                pair[self.starts] = 0
+                pair <<= 32
+                pair |= self.seq
+                _, self.first, inverse = np.unique(pair, return_index=True, return_inverse=True)
+                del pair
+                local = inverse = inverse.astype(np.uint32)
+                at = self.first if i == n else slice(None)
+                last = np.arange(-1, len(self.seq) - 1)[at]
+                hist = kinds[self.seq[last]] if i == 2 else key[last]
+                hist[np.isin(last + 1, self.starts, assume_unique=True)] = 0
                 if i < n:
-                    key = mix(hist * _STEP + words)
-            words, hist = words[self.first], hist[self.first]
+                    key = mix(hist * _STEP + kinds[self.seq])
+            words = kinds[self.seq[self.first]]
             bucket = (mix(hist, 21) % np.uint64(buckets)).astype(np.int64)
             crowd = np.isin(hist, heavy) | (hist == 0)
             spread = (mix(hist * _STEP + words, 22) % np.uint64(buckets)).astype(np.int64) + buckets
@@ -210,28 +224,27 @@ def _send(chunks: DataFrame, n: int, buckets: int, heavy: np.ndarray, heavy_befo
     """Messages of each chunk to each bucket. From the third order on, ``answers`` holds the replies one order lower."""
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                grams = _Grams(row, n, buckets, heavy)
-                if n == 1:
-                    low = np.zeros(len(grams.words))
-                elif n == 2:
-                    low = _open(row["lows"], np.float64)[grams.seq[grams.first[grams.order]]]
-                else:
-                    before = _Grams(row, n - 1, buckets, heavy_before)
-                    low = _replies(row["answers"])[0][before.at[grams.first[grams.order]]]
-                edges = np.flatnonzero(np.diff(grams.bucket, prepend=-1, append=-1))
-                rows = []
-                for lo, hi in zip(edges, edges[1:], strict=False):
-                    hist = grams.hist[lo:hi]
-                    new = np.flatnonzero(np.concatenate(([True], hist[1:] != hist[:-1])))
-                    values, codes = np.unique(low[lo:hi], return_inverse=True)
-                    rows.append((
-                        int(grams.bucket[lo]), row["chunk"], _pack_sorted(hist[new]), _pack(np.diff(new, append=hi - lo).astype(np.uint32)),
-                        _pack(grams.words[lo:hi]), _pack(grams.counts[lo:hi].astype(np.uint32)), _pack(codes.astype(np.uint32)), _pack(values),
-                    ))
-                kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], _names(_SENT))
+        for row in _rows(batches):
+            grams = _Grams(row, n, buckets, heavy)
+            if n == 1:
+                low = np.zeros(len(grams.words))
+            elif n == 2:
+                low = _open(row["lows"], np.float64)[grams.seq[grams.first[grams.order]]]
+            else:
+                before = _Grams(row, n - 1, buckets, heavy_before)
+                low = _replies(row["answers"])[0][before.at[grams.first[grams.order]]]
+            edges = np.flatnonzero(np.diff(grams.bucket, prepend=-1, append=-1))
+            rows = []
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                hist = grams.hist[lo:hi]
+                new = np.flatnonzero(np.concatenate(([True], hist[1:] != hist[:-1])))
+                values, codes = np.unique(low[lo:hi], return_inverse=True)
+                rows.append((
+                    int(grams.bucket[lo]), row["chunk"], _pack_sorted(hist[new]), _pack(np.diff(new, append=hi - lo).astype(np.uint32)),
+                    _pack(grams.words[lo:hi]), _pack(grams.counts[lo:hi].astype(np.uint32)), _pack(codes.astype(np.uint32)), _pack(values),
+                ))
+            kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], _names(_SENT))
 
     return chunks.mapInArrow(answer, _SENT)
 
@@ -272,12 +285,11 @@ def _merge(sent: DataFrame, n: int, parts: int, buckets: int, crowd: int) -> Dat
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if held and held[0]["bucket"] != row["bucket"]:
-                    yield merged(held)
-                    held = []
-                held.append(row)
+        for row in _rows(batches):
+            if held and held[0]["bucket"] != row["bucket"]:
+                yield merged(held)
+                held = []
+            held.append(row)
         if held:
             yield merged(held)
 
@@ -332,25 +344,24 @@ def _reply(
     ``numbers`` of words. ``lowest``: for the first order, its training tokens and the probability of the unknown word."""
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                hist, which, counts, star, low = _table(row, discount)
-                if lowest is not None:
-                    p = np.where(counts > 0, star / max(lowest[0], 1e-300), lowest[1])
-                    logs = np.log10(np.maximum(p, 1e-300))
-                    numbers = _numbers(counts, row["bucket"], buckets)
-                else:
-                    sums = _sums(which, len(hist), counts, star, low)
-                    if row["bucket"] >= buckets:
-                        sums = np.array([crowds[h] for h in hist.view(np.int64).tolist()])
-                    logs = _logs(which, counts, star, low, sums)
-                out, row_chunks = [], row["chunks"]
-                for packed in row["places"]:
-                    at = np.cumsum(_open(packed, np.uint32).astype(np.int64))
-                    words = (_pack(counts[at].astype(np.uint32)), _pack(numbers[at])) if lowest is not None else (b"", b"")
-                    out.append((row_chunks[len(out)], row["bucket"], _pack(logs[at].astype(kind)), *words))
-                kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 3]
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], _names(_REPLY))
+        for row in _rows(batches):
+            hist, which, counts, star, low = _table(row, discount)
+            if lowest is not None:
+                p = np.where(counts > 0, star / max(lowest[0], 1e-300), lowest[1])
+                logs = np.log10(np.maximum(p, 1e-300))
+                numbers = _numbers(counts, row["bucket"], buckets)
+            else:
+                sums = _sums(which, len(hist), counts, star, low)
+                if row["bucket"] >= buckets:
+                    sums = np.array([crowds[h] for h in hist.view(np.int64).tolist()])
+                logs = _logs(which, counts, star, low, sums)
+            out, row_chunks = [], row["chunks"]
+            for packed in row["places"]:
+                at = np.cumsum(_open(packed, np.uint32).astype(np.int64))
+                words = (_pack(counts[at].astype(np.uint32)), _pack(numbers[at])) if lowest is not None else (b"", b"")
+                out.append((row_chunks[len(out)], row["bucket"], _pack(logs[at].astype(kind)), *words))
+            kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], _names(_REPLY))
 
     return merged.mapInArrow(answer, _REPLY)
 
@@ -390,13 +401,12 @@ def _crowds(merged: DataFrame, discount: np.ndarray, buckets: int) -> dict[int,
     """Sums of the heavy histories over all buckets; at most ``HEAVY`` and the start mark."""
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                hist, which, counts, star, low = _table(row, discount)
-                sums = _sums(which, len(hist), counts, star, low)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(hist.view(np.int64)), *(pa.array(sums[:, i]) for i in range(3))], ["hist", "a", "b", "c"]
-                )
+        for row in _rows(batches):
+            hist, which, counts, star, low = _table(row, discount)
+            sums = _sums(which, len(hist), counts, star, low)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hist.view(np.int64)), *(pa.array(sums[:, i]) for i in range(3))], ["hist", "a", "b", "c"]
+            )
 
     heavy = merged.where(F.col("bucket") >= buckets).mapInArrow(answer, "hist long, a double, b double, c double")
     rows = heavy.groupBy("hist").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("c").alias("c")).collect()
@@ -442,22 +452,19 @@ def katz_scores(docs: DataFrame, order: int = ORDER, chunk: int = CHUNK, bucket:
             state = coded.join(_gathered(replies), "chunk")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                grams = _Grams(row, max(order, 2), buckets, heavy_now)
-                if order > 1:
-                    values = _replies(row["answers"], np.float32)[0][grams.at]
-                else:
-                    values = _open(row["lows"], np.float64)[grams.seq]
-                counts = _open(row["seen"], np.uint32)
-                base = np.log10((counts.astype(np.float64) + 1) / (tokens + vocabulary + 1))[grams.seq]
-                seen = (counts > 0).astype(np.int64)[grams.seq]
-                columns = [
-                    pa.array(row["doc_id"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(grams.sizes, pa.int64()),
-                    pa.array(np.add.reduceat(seen, grams.starts)), pa.array(np.full(len(grams.sizes), tokens), pa.int64()),
-                    pa.array(np.add.reduceat(base, grams.starts)), pa.array(np.add.reduceat(values, grams.starts)),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        for row in _rows(batches):
+            grams = _Grams(row, max(order, 2), buckets, heavy_now)
+            counts = _open(row["seen"], np.uint32)
+            base = np.log10((counts.astype(np.float64) + 1) / (tokens + vocabulary + 1))
+            logs, places = (_replies(row["answers"], np.float32)[0], grams.at) if order > 1 else (_open(row["lows"], np.float64), grams.seq)
+            seen, base, score = (
+                np.add.reduceat(x[at], grams.starts) for x, at in (((counts > 0).astype(np.int64), grams.seq), (base, grams.seq), (logs, places))
+            )
+            columns = [
+                pa.array(row["doc_id"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(grams.sizes, pa.int64()),
+                pa.array(seen), pa.array(np.full(len(grams.sizes), tokens), pa.int64()), pa.array(base), pa.array(score),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return state.mapInArrow(
         answer, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
