@@ -24,7 +24,7 @@ their sums, one row each, are added up across buckets.
 
 A chunk has a message for each bucket, and both grow with the input: their bytes follow the n-grams, their
 number its square (some ten thousand in 0.5 GB of text). ``ORDER`` is 2, the bigram model: a trigram model has its n-grams
-to write and send as well, and does not fit the disk that the query is allowed.
+to write and send as well, which by estimate (not measured) exceeds the disk that the query is allowed.
 
 Edge cases: a null or empty text is the end alone. Without training texts every token is
 unknown with probability one. Repeated rows are counted and scored each. A null identifier
