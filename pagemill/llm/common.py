@@ -24,6 +24,14 @@ def crc_bucket(id_col: str, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(parts)).cast("int")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, longer by underscores if ``df`` has a column called so."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a stage no plan needs any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import drop_stage
+from pagemill.llm.common import drop_stage, unused
 from pagemill.operators.staging import stage
 
 FAN_IN = 8
@@ -127,12 +127,12 @@ def exact_duplicates(
 
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
     """Rows of ``docs`` whose text stays, with all their columns."""
-    numbered = docs.withColumn("_uid", F.monotonically_increasing_id())
-    held = stage(numbered, "texts")
+    uid = unused(docs, "_uid")
+    held = stage(docs.withColumn(uid, F.monotonically_increasing_id()), "texts")
     rows = held.select(
-        F.col("_uid").alias("uid"), F.col(id_col).alias("id"),
+        F.col(uid).alias("uid"), F.col(id_col).alias("id"),
         F.unhex(F.sha2(normalized(text_col), 256)).alias("digest"),
         F.octet_length(normalized(text_col)).cast("long").alias("n_bytes"),
     )
-    winners = merged_runs(rows, keep).select(F.col("best_uid").alias("_uid"))
-    return held.join(winners, "_uid", "left_semi").drop("_uid")
+    winners = merged_runs(rows, keep).select(F.col("best_uid").alias(uid))
+    return held.join(winners, uid, "left_semi").drop(uid)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import SIMILARITY, buffers, components, drop_stage, mix, sets_of, shingle_hashes, slices, word_hashes
+from pagemill.llm.common import SIMILARITY, buffers, components, drop_stage, mix, sets_of, shingle_hashes, slices, unused, word_hashes
 from pagemill.operators.staging import stage
 
 REPEATS = 12
@@ -324,6 +324,7 @@ def near_duplicates(
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class of near duplicates, all columns kept."""
-    held = stage(docs.withColumn("_uid", F.monotonically_increasing_id()), "texts")
-    kept = near_duplicates(held, uid_col="_uid").where("kept").select(F.col("uid").alias("_uid"))
-    return held.join(kept, "_uid", "left_semi").drop("_uid")
+    uid = unused(docs, "_uid")
+    held = stage(docs.withColumn(uid, F.monotonically_increasing_id()), "texts")
+    kept = near_duplicates(held, uid_col=uid).where("kept").select(F.col("uid").alias(uid))
+    return held.join(kept, uid, "left_semi").drop(uid)

@@ -35,6 +35,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.llm.common import unused
 from pagemill.operators.staging import stage
 
 TRUST = 0.95
@@ -207,9 +208,10 @@ def mixing_rates(
 
 def mixed(docs: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """``docs`` with every row as often as its copies say."""
-    held = stage(docs.withColumn("_uid", F.monotonically_increasing_id()), "texts")
-    copies = mixing_rates(held, targets, carried=("_uid",)).select("_uid", "copies")
+    uid, n, one = (unused(docs, c) for c in ("_uid", "_copies", "_copy"))
+    held = stage(docs.withColumn(uid, F.monotonically_increasing_id()), "texts")
+    copies = mixing_rates(held, targets, carried=(uid,)).select(uid, F.col("copies").alias(n))
     return (
-        held.join(copies, "_uid").where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-        .drop("_uid", "copies", "_copy")
+        held.join(copies, uid).where(F.col(n) > 0).withColumn(one, F.explode(F.sequence(F.lit(1), F.col(n))))
+        .drop(uid, n, one)
     )

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import mix
+from pagemill.llm.common import mix, unused
 
 BITS = 11
 SAMPLE = 6000
@@ -232,9 +232,10 @@ def quality(docs: DataFrame, model: Scorer | None = None, threshold: float = THR
 def good_documents(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` that the scorer keeps, with all their columns."""
     columns = docs.columns
-    held = docs.select(*columns, F.struct(*columns).alias("_row"))
+    row = unused(docs, "_row")
+    held = docs.select(*columns, F.struct(*columns).alias(row))
     model = fit(docs)
     if model is None:  # no rows
         return docs
-    kept = quality(held.select("_row", "text"), model, keep=("_row",)).where("kept")
-    return kept.select("_row.*")
+    kept = quality(held.select(row, "text"), model, keep=(row,)).where("kept")
+    return kept.select(f"{row}.*")

@@ -52,6 +52,15 @@ def test_values_of_odd_rows(spark, odd):
     assert prints[3].fingerprint == "" and prints[3].n_chars == 0
 
 
+def test_helper_names_in_use(odd):
+    extra = ["_uid", "_copy", "_copies", "copies", "_row", "_UID_"]
+    docs = odd.selectExpr("*", *[f"doc_id AS {c}" for c in extra])
+    for keeps in (exact_dedup.without_duplicates, jaccard_join.one_of_each, mixing.mixed, quality.good_documents):
+        out = keeps(docs)
+        assert out.columns == docs.columns
+        assert all(r[c] == r.doc_id for r in out.collect() for c in extra)
+
+
 def test_stages(spark, odd, none):
     docs = odd.select(*corpus_pipeline.COLUMNS)
     for table, some in ((docs, True), (none.select(*corpus_pipeline.COLUMNS), False)):
