@@ -3,14 +3,17 @@
 High-recall generators (regular expressions) propose spans, which may overlap. Those of the
 four base kinds that pass their own test (octets, Luhn, number of digits) always stay. The
 others are judged by boosted trees over format (generator, digits, length, separators,
-letters) and context (key words and characters around). What tells good from bad are the
-base spans that passed and secrets after an assignment: the trees learn how likely a
-candidate of this looks passes, and the threshold of each generator is calibrated so that nearly all
-(``RECALL``) that did pass would be taken. Candidates that look the same but fail the strict
-test are then taken too, if they overlap nothing already taken.
-
-Counts of looks come from all documents; the trees are fitted on the ``PATTERNS`` most
-frequent ones at most (a stated bound) and become plain expressions. Built-in functions
+letters, check digits) and context (key words and characters around). What tells good from bad is a test of each
+generator (:func:`_right`): overlap with a base span, a written-out address that ends in a name of letters, a number
+after a word for telephones, a remainder of one modulo 97, and for secrets a value of many different characters,
+letters and digits among them. The trees learn how likely a candidate of this looks passes. The threshold of a
+generator is the score that ``RECALL`` of what passed reaches, or, where too much else scores as high, the
+lowest score down to which ``PRECISION`` of what is taken passed. Candidates that score so high are taken, whether they passed
+or not, if they overlap nothing already taken.
+
+Counts of looks come from all documents, and so do the thresholds (sums over a grid of scores). Only the trees are fitted on a
+sample: of each generator, the ``PATTERNS`` most frequent looks among those with and among those without a candidate that passed.
+The trees become plain expressions. Built-in functions
 only; a document is scanned once, in its own row, in time linear in its length.
 
 Edge cases: a null text is the empty text and has no spans. Repeated rows are answered each.
@@ -20,6 +23,7 @@ An empty table gives an empty result. Other columns of the input are not read.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -27,11 +31,13 @@ from pyspark.sql import functions as F
 
 from pagemill.operators.staging import stage
 
-PATTERNS = 5000
+PATTERNS = 600
 TREES = 24
 LEAVES_DEEP = 3
 RATE = 0.3
 RECALL = 0.98
+PRECISION = 0.8
+GRID, FARTHEST = 0.01, 12.0  # thresholds are multiples of the one, up to the other
 KINDS = ("email", "ip", "card", "phone", "iban", "secret")
 
 # The base patterns (written so that no run of characters is tried twice) and the wide ones.
@@ -45,8 +51,8 @@ BASE = {
 WIDE = {
     "email": rf"(?<!{_LOCAL}){_LOCAL}{{1,64}}+\x20?(?:\[at\]|\(at\)|@)\x20?[A-Za-z0-9-]{{1,63}}+(?:\x20?(?:\[dot\]|\(dot\)|\.)\x20?[A-Za-z0-9-]{{2,63}}+){{1,8}}+",
     "number": r"(?<![0-9A-Za-z.])[+(]?[0-9](?:[\x20().\-/]{0,2}[0-9]){6,24}+(?![0-9A-Za-z])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}+(?:\x20?[A-Z0-9]{1,3})?",
-    "secret": r"(?i)(?:token|secret|passw(?:or)?d|api[_-]?key|key)\x20?[=:]\x20?[\"']?[^\s\"']{8,128}+",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}+(?:\x20?[A-Z0-9]{1,3}(?![A-Za-z0-9]))?(?![A-Za-z0-9])",
+    "secret": r"(?i)(?:token|secret|passw(?:or)?d|api[_-]?key|key)\x20?[=:]\x20?[\"']?[^\s\"']{8,}+",
 }
 KEYWORDS = {
     1: r"(?i)(?:e-?mail|contact|write)[^0-9]{0,12}$", 2: r"(?i)(?:tel|phone|mobile|fax|call)[^0-9]{0,12}$",
@@ -54,7 +60,7 @@ KEYWORDS = {
     5: r"(?i)(?:version|v|no|page|isbn)\.?\x20?$",
 }
 _IP = r"^0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])){3}$"
-FEATURES = ("gen", "digits", "size", "seps", "letters", "plus", "word", "before", "after")
+FEATURES = ("gen", "digits", "size", "seps", "letters", "plus", "word", "before", "after", "valid")
 
 
 def _digits(s: Column) -> Column:
@@ -123,7 +129,39 @@ def _of_kind(kind: int):
     return lambda c: F.struct(c["start"].alias("start"), F.lit(kind).alias("kind"), c["end"].alias("end"))
 
 
-def _look(gen: Column, c: Column) -> dict[str, Column]:
+def mod97(s: Column) -> Column:
+    """Remainder of an account number: first four characters moved to the end, letters as numbers from 10."""
+    plain = F.replace(s, F.lit(" "), F.lit(""))
+    moved = F.concat(F.substring(plain, F.lit(5), F.char_length(plain)), F.left(plain, F.lit(4)))
+
+    def step(left: Column, ch: Column) -> Column:
+        value = F.ascii(ch) - F.when(F.ascii(ch) >= 65, 55).otherwise(48)
+        return F.when(ch == "", left).otherwise((left * F.when(value > 9, 100).otherwise(10) + value) % 97)
+
+    return F.aggregate(F.split(moved, ""), F.lit(0), step)
+
+
+def _valid(kind: str, s: Column) -> Column:
+    """Whether check digits are right, where a generator's texts have some."""
+    if kind == "number":
+        return F.coalesce(_passed("card", s), F.lit(False))
+    return mod97(s) == 1 if kind == "iban" else F.lit(False)
+
+
+def _right(kind: str, c: Column, held: Column, look: dict[str, Column]) -> Column:
+    """The test a candidate is known to be right by."""
+    s = c["s"]
+    if kind == "email":
+        return held | F.rlike(s, F.lit(r"[\[(]at[\])].*[^A-Za-z][A-Za-z]{2,24}$"))
+    if kind == "number":
+        return held | ((look["word"] == 2) & look["digits"].between(7, 15))
+    if kind == "iban":
+        return look["valid"] == 1
+    value = F.regexp_replace(s, r"^[^=:]*[=:]\x20?[\"']?", "")
+    return F.rlike(value, F.lit("[0-9]")) & F.rlike(value, F.lit("[A-Za-z]")) & (F.size(F.array_distinct(F.split(value, ""))) >= 10)
+
+
+def _look(gen: Column, kind: str, c: Column) -> dict[str, Column]:
     """Format and context as small whole numbers."""
     s = c["s"]
     digits, size = F.char_length(F.regexp_replace(s, "[^0-9]", "")), c["end"] - c["start"]
@@ -140,6 +178,7 @@ def _look(gen: Column, c: Column) -> dict[str, Column]:
         "gen": gen, "digits": F.least(digits, F.lit(40)), "size": F.least(F.floor(size / 4), F.lit(16)).cast("int"),
         "seps": F.least(size - digits - letters, F.lit(12)), "letters": F.least(letters, F.lit(12)),
         "plus": F.startswith(s, F.lit("+")).cast("int"), "word": word, "before": kind_of(last), "after": kind_of(follow),
+        "valid": _valid(kind, s).cast("int"),
     }
 
 
@@ -162,14 +201,16 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def judged(i: int, k: str) -> Column:
         def one(c: Column) -> Column:
-            held = F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-            strict = F.rlike(c["s"], F.lit(r"[0-9].*[0-9]")) & (F.char_length(c["s"]) >= 24) if k == "secret" else F.lit(False)
-            right = held if k != "secret" else strict
+            met = F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+            # a long secret or account number may hold digits that look like a card; it is taken whole nevertheless
+            inside = F.exists("base", lambda b: (b["start"] <= c["start"]) & (c["end"] <= b["end"]))
+            held = inside if k in ("iban", "secret") else met
+            look = _look(F.lit(i), k, c)
             digits = F.char_length(F.regexp_replace(c["s"], "[^0-9]", ""))
             kind = {"email": F.lit(0), "number": F.when(digits >= 13, 2).otherwise(3), "iban": F.lit(4), "secret": F.lit(5)}[k]
             return F.struct(
-                c["start"].alias("start"), kind.alias("kind"), c["end"].alias("end"), right.alias("right"), held.alias("held"),
-                *[x.cast("int").alias(n) for n, x in _look(F.lit(i), c).items()],
+                c["start"].alias("start"), kind.alias("kind"), c["end"].alias("end"),
+                _right(k, c, held, look).alias("right"), held.alias("held"), *[x.cast("int").alias(n) for n, x in look.items()],
             )
 
         return F.transform(f"w_{k}", one)
@@ -177,7 +218,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return wide.select("doc_id", "base", F.concat(*[judged(i, k) for i, k in enumerate(WIDE)]).alias("wide"))
 
 
-# ---- boosted trees over at most PATTERNS looks, on the driver -----------------
+# ---- boosted trees over at most 2 * PATTERNS looks of each generator, on the driver -----------------
 
 
 @dataclass
@@ -237,7 +278,7 @@ def _grow(x: np.ndarray, pull: np.ndarray, curve: np.ndarray, depth: int):
 
 
 def boost(x: np.ndarray, n: np.ndarray, right: np.ndarray, trees: int = TREES) -> Trees:
-    """Boosted trees for ``right`` of ``n`` candidates of each look, with thresholds per generator."""
+    """Boosted trees for ``right`` of ``n`` candidates of each look."""
     model = Trees()
     if not len(x) or right.sum() == 0:
         return model
@@ -249,23 +290,40 @@ def boost(x: np.ndarray, n: np.ndarray, right: np.ndarray, trees: int = TREES) -
         tree = _grow(x, right - n * p, n * p * (1 - p), LEAVES_DEEP)
         model.trees.append(tree)
         score = score + _value(tree, x)
-    for gen in np.unique(x[:, 0]):
-        known = (x[:, 0] == gen) & (right > 0)
-        if known.any():
-            order = np.argsort(-score[known])
-            weight = np.cumsum(right[known][order])
-            model.thresholds[int(gen)] = float(score[known][order][np.searchsorted(weight, RECALL * weight[-1])]) - 1e-6
     return model
 
 
+def thresholds(scored: DataFrame) -> dict[int, float]:
+    """Threshold of each generator from ``gen, score, n, right`` of all looks. Scores are summed over a grid, so
+    that what comes to the driver is bounded however many looks there are."""
+    cell = F.floor(F.greatest(F.lit(-FARTHEST), F.least(F.lit(FARTHEST), F.col("score"))) / GRID).cast("int")
+    sums = scored.groupBy("gen", cell.alias("cell")).agg(F.sum("n").alias("n"), F.sum("right").alias("right")).collect()
+    out = {}
+    for gen in {r["gen"] for r in sums}:
+        best_first = sorted((r for r in sums if r["gen"] == gen), key=lambda r: -r["cell"])
+        n, right = (np.cumsum([r[c] for r in best_first]) for c in ("n", "right"))
+        far = min(int(np.searchsorted(right, RECALL * right[-1])), len(right) - 1)
+        good = np.flatnonzero((right[: far + 1] >= PRECISION * n[: far + 1]) & (right[: far + 1] > 0))
+        if len(good):
+            out[int(gen)] = best_first[int(good[-1])]["cell"] * GRID - 1e-9
+    return out
+
+
 def fit(found: DataFrame) -> Trees:
     """Trees from ``wide`` of :func:`candidates`."""
-    looks = found.select(F.explode("wide").alias("c")).groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES]).agg(
-        F.count("*").alias("n"), F.sum(F.col("c.right").cast("int")).alias("right")
+    looks = stage(
+        found.select(F.explode("wide").alias("c")).groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES]).agg(
+            F.count("*").alias("n"), F.sum(F.col("c.right").cast("int")).alias("right")
+        ), "looks",
     )
-    rows = looks.orderBy(F.desc("n"), *FEATURES).limit(PATTERNS).collect()
+    classes = [looks.where((F.col("gen") == g) & ((F.col("right") > 0) == known)) for g in range(len(WIDE)) for known in (True, False)]
+    rows = reduce(DataFrame.unionByName, [c.orderBy(F.desc("n"), *FEATURES).limit(PATTERNS) for c in classes]).collect()
     x = np.array([[r[f] for f in FEATURES] for r in rows], np.int64).reshape(-1, len(FEATURES))
-    return boost(x, np.array([r["n"] for r in rows], float), np.array([r["right"] for r in rows], float))
+    model = boost(x, np.array([r["n"] for r in rows], float), np.array([r["right"] for r in rows], float))
+    if model.trees:
+        score = model.column(F.struct(*FEATURES)).alias("score")
+        model.thresholds = thresholds(looks.select("gen", score, "n", "right"))
+    return model
 
 
 def _joined(found: Column) -> Column:
@@ -274,7 +332,8 @@ def _joined(found: Column) -> Column:
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added``, one row per document."""
+    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans, n_secret``, one row per document;
+    ``n_spans`` counts all spans, ``n_secret`` those of secrets."""
     found = stage(candidates(docs, id_col, text_col), "candidates")
     model = fit(found)
     plain = "array<struct<start:int,kind:int,end:int>>"
@@ -293,4 +352,6 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return found.withColumn("added", added).select(
         "doc_id", *counted, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
         _joined(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_added"),
+        (F.size("base") + F.size("added")).cast("long").alias("n_spans"),
+        F.size(F.filter("added", lambda c: c["kind"] == KINDS.index("secret"))).cast("long").alias("n_secret"),
     )
