@@ -23,7 +23,7 @@ from pagemill.llm.common import SHINGLE
 
 K = 128
 SPACE = r"[\x20\x09-\x0D]+"
-BLOCK_ROWS = 2048
+BLOCK_ROWS, MOST_RANGES, DRAWN = 2048, 1 << 14, 100
 
 
 def shingles(text: Column, width: int = SHINGLE) -> Column:
@@ -88,25 +88,33 @@ def with_next(rows: DataFrame, order: str, carried: list[str], block_rows: int =
     """Each row with columns ``next_<name>`` of the row that follows it by ``order``; after
     the last comes the first.
 
-    The order is cut into ranges of about ``block_rows`` rows by quantiles of ``order``, so
-    that no task sorts everything. The first row of every range is sent to the range before
-    as well; that is the one row the range before lacks.
+    The order is cut into ranges of about ``block_rows`` rows, or into ``MOST_RANGES`` ranges if that would make more (a
+    range is sorted by one task, which spills), so what the driver sees of them is bounded. The cuts
+    are quantiles of ``order`` over a sample of ``DRAWN`` rows a range; they decide where rows are sorted, not what follows
+    what. A row finds its range by bisection. The first row of every range is sent to the range before
+    as well; that is the one row the range before lacks. Rows with one and the same ``order`` are in one range.
     """
     total = rows.select(order).count()
-    blocks = max(total // block_rows, 1)
+    ranges = min(max(total // block_rows, 1), MOST_RANGES)
     cuts = []
-    if blocks > 1:
-        at = [i / blocks for i in range(1, blocks)]
-        cuts = sorted(set(rows.select(F.percentile_approx(order, F.array(*map(F.lit, at)), blocks * 20)).first()[0] or []))
-    # number of cuts at or below the value, by bisection over the ranges
+    if ranges > 1:
+        at = [i / ranges for i in range(1, ranges)]
+        share = min(1.0, DRAWN * ranges / total)
+        drawn = rows.select(order) if share == 1 else rows.select(order).sample(share, 7)
+        cuts = sorted(set(drawn.select(F.percentile_approx(order, F.array(*map(F.lit, at)), ranges * 4)).first()[0] or []))
     spark = rows.sparkSession
     block = F.lit(0)
     if cuts:
-        bounds = F.array(*[F.lit(c) for c in cuts])
-        block = F.coalesce(F.size(F.filter(bounds, lambda c: c <= F.col(order))), F.lit(0))
+        bounds, n_bits = F.array(*map(F.lit, cuts)), len(cuts).bit_length()
+
+        def halve(low: Column, bit: Column) -> Column:
+            """``low`` cuts are known to be at or below the value; are ``bit`` more?"""
+            return F.when(F.get(bounds, low + bit - 1) <= F.col(order), low + bit).otherwise(low)
+
+        block = F.aggregate(F.array(*[F.lit(1 << b) for b in range(n_bits)[::-1]]), F.lit(0), halve)
     placed = rows.withColumn("_block", F.when(F.col(order).isNull(), 0).otherwise(block).cast("int"))
     n = len(cuts) + 1
-    # at most one row per range: the identifier its successor range begins with
+    # at most one row per range, MOST_RANGES at most: the identifier its successor range begins with
     filled = sorted(r["_block"] for r in placed.select("_block").distinct().collect())
     before = {b: filled[i - 1] for i, b in enumerate(filled)}
     lead = spark.createDataFrame(list(before.items()) or [(0, 0)], "_block int, _before int")
