@@ -2,8 +2,9 @@
 
 A document is its token ids and one end id. It is cut every ``capacity`` ids: full pieces
 are sequences of their own, the rest is one item of a cutting-stock problem. The problem
-needs only the histogram of item lengths, in classes of ``unit`` tokens (at most
-``capacity / unit`` of them, however many documents there are):
+needs only the histogram of item lengths, in classes (:func:`size_class`): every length of its own up to ``4 * unit`` tokens, steps of
+``unit`` beyond. There are fewer than two hundred classes, however many documents there are. The long ones are planned
+in units; short ones fill the room their patterns leave, and those still left are planned by the token. For either:
 
 * a linear program over patterns (how many items of each class share a sequence) is solved
   by the revised simplex method, starting from one-class patterns;
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -126,7 +127,12 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, voc
     ).mapInArrow(cut, _PIECES)
 
 
-# ---- the plan: at most capacity / unit classes, on the driver -----------------
+def size_class(length: Column, unit: int) -> Column:
+    """Tokens an item of this length is reckoned with."""
+    return F.when(length <= 4 * unit, length).otherwise(F.ceil(length / unit) * unit).cast("int")
+
+
+# ---- the plan: fewer than two hundred classes, on the driver ------------------
 
 
 def _best_pattern(value: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -212,6 +218,25 @@ def _exact(plan: list[tuple[np.ndarray, int]], demand: np.ndarray) -> list[tuple
     return plan
 
 
+def packing_plan(demand: np.ndarray, capacity: int, unit: int) -> list[tuple[np.ndarray, int]]:
+    """Patterns by the token and how often to use each, for ``demand[i]`` items reckoned with ``i + 1`` tokens."""
+    short = demand.copy()
+    short[4 * unit :] = 0
+    steps = np.arange(unit, capacity + 1, unit)  # sizes of long items
+    plan = []
+    for counts, uses in cutting_stock((demand - short)[steps - 1], len(steps)):
+        pattern = np.zeros(len(demand), np.int64)
+        pattern[steps - 1] = counts
+        room = capacity - int((counts * steps).sum())
+        for i in np.flatnonzero(short >= uses)[::-1]:
+            take = min(int(short[i]) // uses, room // (int(i) + 1))
+            pattern[i] += take
+            short[i] -= take * uses
+            room -= take * (int(i) + 1)
+        plan.append((pattern, uses))
+    return _exact(plan + cutting_stock(short, capacity), demand)
+
+
 def _slots(plan: list[tuple[np.ndarray, int]]) -> list[tuple[int, int, int, int, int, int]]:
     """``class, first rank, last rank, items per sequence, first sequence, place`` of each
     class in each pattern."""
@@ -235,19 +260,18 @@ def pack(
     spark = docs.sparkSession
     pieces = stage(
         token_pieces(docs, id_col, text_col, capacity, vocabulary)
-        .withColumn("size", F.ceil(F.col("length") / unit).cast("int"))
+        .withColumn("size", size_class(F.col("length"), unit))
         .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(BUCKETS)).cast("int")),
         "pieces",
     )
-    # at most capacity / unit classes times BUCKETS rows, however many pieces there are
+    # at most as many rows as classes times BUCKETS, however many pieces there are
     totals = pieces.groupBy("size", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     shifts = stage(totals.withColumn("shift", F.coalesce(F.sum("n").over(before), F.lit(0))), "shifts")
-    room = capacity // unit
-    demand = np.zeros(room, np.int64)
+    demand = np.zeros(capacity, np.int64)
     for row in shifts.groupBy("size").agg(F.sum("n").alias("n")).collect():
         demand[row["size"] - 1] = row["n"]
-    plan = cutting_stock(demand, room)
+    plan = packing_plan(demand, capacity, unit)
     slots = spark.createDataFrame(
         _slots(plan) or [], "size int, first long, last long, per long, base long, place int"
     )
