@@ -300,28 +300,6 @@ def test_packing_round_trip(spark, texts):
     assert len(sequences) * packing.CAPACITY <= 1.06 * tokens + 4 * packing.CAPACITY
 
 
-def test_short_texts_leave_little_padding(spark):
-    texts = ["", "a", "one two"]
-    rows = [(i, texts[i % 3]) for i in range(4096)]
-    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    used = collections.Counter()
-    for r in out:
-        used[r.sequence_id] += r.length
-    assert max(used.values()) <= packing.CAPACITY and len(out) == 4096
-    # rounding patterns down may cost one sequence in the whole table
-    assert len(used) <= -(-sum(used.values()) // packing.CAPACITY) + 1
-
-
-def test_many_short_items_waste_under_two_percent():
-    demand = np.zeros(2048, np.int64)
-    demand[:64] = np.random.default_rng(1).integers(1, 10**5, 64)
-    demand[79::16] = 300
-    plan = packing.packing_plan(demand, 2048, 16)
-    assert (sum(c * n for c, n in plan) == demand).all()
-    assert all((c * np.arange(1, 2049)).sum() <= 2048 for c, _ in plan)
-    assert sum(n for _, n in plan) * 2048 <= 1.02 * (demand * np.arange(1, 2049)).sum()
-
-
 def test_cutting_stock_is_close_to_the_bound():
     demand = np.zeros(64, np.int64)
     demand[[20, 25, 30, 41, 63]] = [400, 300, 500, 200, 100]
