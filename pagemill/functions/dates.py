@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +29,7 @@ _TIME = r"(?:(?:\s*T|\s+)(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,]\d+)?)?\s*(Z|UTC|GMT
 _ISO = rf"(?i)^(\d{{4}})[-/](\d{{1,2}})[-/](\d{{1,2}}){_TIME}$"
 _AMERICAN = rf"(?i)^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}}){_TIME}$"
 _DAY_FIRST = rf"(?i)^(?:[a-z]{{3,9}},?\s+)?(\d{{1,2}})[\s-]+([a-z]{{3,9}})[\s,-]+(\d{{4}}){_TIME}$"
+_EPOCH = r"^@(-?\d+)$"
 # words of a relative date: a clock, a signed number, or letters
 _RELATIVE = r"[0-9]+:[0-9]+(?::[0-9]+)?|[+-]?[0-9]+|[a-z]+"
 # fixed values: words that count, days of the week from Monday, units in months or seconds
@@ -71,12 +74,9 @@ def _wall_clock(year: Column, month: Column, day: Column, hour: Column, minute:
     return first.cast(_NTZ) + F.make_dt_interval(day - 1, hour, minute, second.cast("decimal(18,6)"))
 
 
-def _part(text: Column, pattern: str, i: int) -> Column:
-    return F.regexp_extract(text, pattern, i)
-
-
-def _number(text: Column, pattern: str, i: int) -> Column:
-    return F.coalesce(_part(text, pattern, i).try_cast("int"), F.lit(0))
+def _number(digits: Column) -> Column:
+    """What few digits stand for, 0 for none. A failing ``try_cast`` costs an exception, so none is tried on the empty string."""
+    return F.when(digits == "", F.lit(0)).otherwise(digits.cast("int"))
 
 
 def _digits(word: Column, least: int, most: int) -> Column:
@@ -121,24 +121,36 @@ def parse_month_date(c: Column | str) -> Column:
             F.struct(F.lit(0).alias("hour"), F.lit(0).alias("minute"))
         )
 
-    return let(F.regexp_extract_all(F.lower(as_col(c)), F.lit(r"\p{L}+|[0-9]+|[^\p{L}0-9\s]"), F.lit(0)), dated)
+    def parse(text: Column) -> Column:
+        words = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+|[0-9]+|[^\p{L}0-9\s]"), F.lit(0))
+        return F.when(F.contains(text, F.lit(",")), let(words, dated))
+
+    return let(as_col(c), parse)
 
 
 def _offset_minutes(zone: Column) -> Column:
     digits = F.regexp_replace(zone, r"[^0-9]", "")
-    hours = F.substring(digits, 1, 2).try_cast("int")
-    minutes = F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0))
-    signed = (hours * 60 + minutes) * F.when(F.startswith(zone, F.lit("-")), -1).otherwise(1)
-    return F.coalesce(F.try_element_at(_table(ZONE_MINUTES), F.lower(zone)), signed, F.lit(0))
+    signed = let(digits, lambda d: _number(F.substring(d, 1, 2)) * 60 + _number(F.substring(d, 3, 2)))
+    named = F.coalesce(F.try_element_at(_table(ZONE_MINUTES), F.lower(zone)), F.lit(0))
+    return (
+        F.when(zone == "", F.lit(0)).when(F.startswith(zone, F.lit("-")), -signed)
+        .when(F.startswith(zone, F.lit("+")), signed).otherwise(named)
+    )
 
 
-def _zoned(text: Column, pattern: str, year: int, month: Column, day: int) -> Column:
-    clock = _wall_clock(
-        _number(text, pattern, year), month, _number(text, pattern, day),
-        _number(text, pattern, 4), _number(text, pattern, 5), _number(text, pattern, 6),
-    )
-    shift = F.make_dt_interval(F.lit(0), F.lit(0), _offset_minutes(_part(text, pattern, 7)))
-    return F.when(F.rlike(text, F.lit(pattern)), clock - shift)
+def _zoned(text: Column, pattern: str, year: int, month: Callable[[Callable[[int], Column]], Column], day: int) -> Column:
+    """``month`` gets the function from a group's number to its text. All groups come from one match."""
+
+    def read(groups: Column) -> Column:
+        part = lambda i: F.get(groups, F.lit(i - 1))
+        clock = _wall_clock(
+            _number(part(year)), month(part), _number(part(day)), _number(part(4)), _number(part(5)), _number(part(6)),
+        )
+        return clock - F.make_dt_interval(F.lit(0), F.lit(0), let(part(7), _offset_minutes))
+
+    # no group holds a bar; a line end that $ lets follow goes too
+    groups = F.split(F.regexp_replace(text, pattern + r"(?s:.*)", "$1|$2|$3|$4|$5|$6|$7"), r"\|")
+    return F.when(F.rlike(text, F.lit(pattern)), let(groups, read))
 
 
 def _word_table() -> Column:
@@ -193,7 +205,9 @@ def _relative_words(text: Column) -> Column:
 
     words = F.transform(F.regexp_extract_all(text, F.lit(_RELATIVE), F.lit(0)), known)
     whole = F.rlike(text, F.lit(rf"^[ ,]*(?:(?:{_RELATIVE})[ ,]*)+$"))
-    return F.when(whole, F.aggregate(words, start, step, lambda s: F.when(s["ok"] & s["count"].isNull(), s)))
+    added = lambda ws: F.aggregate(ws, start, step, lambda s: F.when(s["ok"] & s["count"].isNull(), s))
+    # most texts that are no dates have a word that means nothing anywhere
+    return F.when(whole, let(words, lambda ws: F.when(F.forall(ws, lambda w: w["value"].isNotNull()), added(ws))))
 
 
 def _relative_date(text: Column, run_ts: Column) -> Column:
@@ -230,16 +244,18 @@ def parse_general_date(c: Column | str, zone: Column | str, run_ts: Column) -> C
     ordinals with units (``-3 days 2 hours``, ``2 weeks ago``, ``next month``), weekdays, clocks and zone names."""
     run_ts = run_ts.cast(_NTZ)
 
-    def parse(text: Column) -> Column:
-        epoch = _part(text, r"^@(-?\d+)$", 1).try_cast("long")
-        epoch_ts = F.lit("1970-01-01 00:00:00").cast(_NTZ) + F.make_dt_interval(
+    def since_epoch(epoch: Column) -> Column:
+        return F.when(epoch.between(_FIRST, _LAST), F.lit("1970-01-01 00:00:00").cast(_NTZ) + F.make_dt_interval(
             F.floor(epoch / 86400).cast("int"), F.lit(0), F.lit(0), F.pmod(epoch, F.lit(86400)).cast("decimal(18,6)")
-        )
+        ))
+
+    def parse(text: Column) -> Column:
+        at_epoch = F.when(F.rlike(text, F.lit(_EPOCH)), let(F.regexp_extract(text, _EPOCH, 1).try_cast("long"), since_epoch))
         utc = F.coalesce(
-            _zoned(text, _ISO, 1, _number(text, _ISO, 2), 3),
-            _zoned(text, _AMERICAN, 3, _number(text, _AMERICAN, 1), 2),
-            _zoned(text, _DAY_FIRST, 3, _month_number(_part(text, _DAY_FIRST, 2)), 1),
-            F.when(epoch.between(_FIRST, _LAST), epoch_ts),
+            _zoned(text, _ISO, 1, lambda part: _number(part(2)), 3),
+            _zoned(text, _AMERICAN, 3, lambda part: _number(part(1)), 2),
+            _zoned(text, _DAY_FIRST, 3, lambda part: _month_number(part(2)), 1),
+            at_epoch,
             _relative_date(F.lower(text), run_ts),
         )
         return to_zone(utc, zone)
